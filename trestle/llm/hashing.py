@@ -51,8 +51,11 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (ends - ends[0]) if len(texts) else np.zeros(1, np.int64)
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lowered, in order, and the number of the text each belongs to."""
+def words(texts: pa.Array, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lowered, in order, and the number of the text each belongs to.
+
+    With ``beginnings``, the hashes of the first so many bytes of all longer words follow, as if they were words.
+    """
     data, ends = joined(texts)
     n = len(data)
     if not n:
@@ -71,7 +74,15 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_VALUES[LOWER[data]] * powers(n), out=total[1:])
     inverse = powers(n, pow(_BASE, -1, 2**64))
     hashes = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U) * U(_STEP))
-    return hashes, np.searchsorted(ends, start, "right") - 1
+    text = np.searchsorted(ends, start, "right") - 1
+    if not beginnings:
+        return hashes, text
+    parts, owners = [hashes], [text]
+    for size in beginnings:
+        long = start[end - start > size]
+        parts.append(mix((total[long + size] - total[long]) * inverse[long] + U(size * _BASE % 2**64)))
+        owners.append(text[end - start > size])
+    return np.concatenate(parts), np.concatenate(owners)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,8 @@ from trestle.llm.hashing import slices, words
 from trestle.llm.samples import held_out, training_texts
 
 #: Labelled rows used for training, at most; hash bits; words kept; folds.
-MOST_ROWS, BITS, MOST_WORDS, FOLDS = 20_000, 20, 400, 5
+MOST_ROWS, BITS, MOST_WORDS, FOLDS = 15_000, 20, 240, 5
+BEGINNINGS = (4, 5, 6, 7, 8)
 SEEDS = {
     "insult": ("idiot", "moron", "loser", "clown", "stupid", "fool"),
     "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage"),
@@ -39,19 +40,26 @@ def _bare(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(texts.fill_null(""), r"[!-/:-@\[-`{-~]+", " ")
 
 
+def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A text's number and the hash of a word, or of the beginning of one, for each in the texts."""
+    h, of = words(_bare(texts), BEGINNINGS)
+    return of, (h >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, hashed word) pairs, in that order."""
-    h, of = words(_bare(texts))
-    pairs = np.unique((of.astype(np.uint64) << np.uint64(BITS)) | (h >> np.uint64(64 - BITS)))
+    """Distinct occurrences, sorted by text."""
+    of, word = occurrences(texts)
+    pairs = np.unique((of.astype(np.uint64) << np.uint64(BITS)) | word.astype(np.uint64))
     return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
 def _hash(words_: tuple[str, ...]) -> set[int]:
-    return set(presence(pa.array(list(words_), pa.string()))[1].tolist())
+    """Hashes of whole words, without those of their beginnings."""
+    return set((words(pa.array(list(words_), pa.string()))[0] >> np.uint64(64 - BITS)).tolist())
 
 
-def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Logistic regression with an L2 penalty by Newton steps; the last weight is the intercept."""
+def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 12) -> np.ndarray:
+    """Logistic regression with an L2 penalty by damped Newton steps; the last weight is the intercept."""
     n, d = x.shape
     a = np.column_stack([x, np.ones(n)])
     w = np.zeros(d + 1)
@@ -61,11 +69,21 @@ def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
         return w
     penalty = np.full(d + 1, ridge)
     penalty[-1] = 1e-6
+
+    def loss(v: np.ndarray) -> float:
+        m = a @ v
+        return float((np.logaddexp(0, m) - y * m).sum() + (penalty * v * v).sum() / 2)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        while (after := loss(w + step)) > now and np.abs(step).max() > 1e-6:
+            step /= 2
+        if after > now:
+            break
+        w, before, now = w + step, now, after
+        if before - now < 1e-4:
             break
     return w
 
@@ -79,8 +97,7 @@ class Chain:
         self.slots, self.weights = slots, weights  # slots: hashed word -> column, or -1
 
     def matrix(self, texts: pa.Array) -> np.ndarray:
-        of, word = presence(texts)
-        return _matrix(self.slots, of, word, len(texts))
+        return _matrix(self.slots, *occurrences(texts), len(texts))
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         for w in self.weights:
