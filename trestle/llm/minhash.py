@@ -4,10 +4,10 @@
    the minima of many universal hashes (multiply-shift), 16 bits each.
 2. Equal sets are one class, named by its smallest doc_id: a group of copies costs one row from here on.
 3. Banding: bands of ``rows`` minima. Buckets with one class go. In the others, tiles of bounded size compare
-   signatures and hand on a spanning forest of the pairs whose estimate is not clearly below the threshold, never
-   all pairs. Components of these forests (large-star, small-star) are candidate clusters: every link lies in one.
-4. Inside clusters, tiles of bounded size count intersections of the full sets and hand on a spanning forest of the
-   confirmed links; their components are the result.
+   signatures and hand on the components under the pairs whose estimate is not clearly below the threshold, as
+   stars, never all pairs. Components of these stars (large-star, small-star) are candidate clusters: every link lies in one.
+4. Inside clusters, tiles of bounded size count intersections of the full sets and hand on the components under the
+   confirmed links, as stars; their components are the result.
 
 With 32 bands of 4 rows a pair at the threshold 0.8 misses all buckets once in 10**7; the estimate's margin is five
 standard deviations. A bucket or cluster above a tile's size is split by hash into chunks, and every pair of chunks
@@ -133,9 +133,12 @@ def _table(batches: list[pa.RecordBatch], n_keys: int) -> tuple[pa.Table, np.nda
     return t, np.append(np.flatnonzero(new), t.num_rows)
 
 
-def _forest(n: int, hits: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Spanning forest of the graph whose edges are i - j for (i, [j, ...])."""
-    parent = list(range(n))
+def _stars(rep: np.ndarray, hits: Iterator[tuple[int, np.ndarray]]) -> tuple[list[int], list[int]]:
+    """Components of the graph whose edges are i - j for (i, [j, ...]), as edges from each class to the smallest.
+
+    Buckets of one group mostly share their smallest class, so that their edges are mostly the same.
+    """
+    parent = list(range(len(rep)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -143,14 +146,15 @@ def _forest(n: int, hits: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, i
             x = parent[x]
         return x
 
-    out = []
     for i, js in hits:
         for j in js:
             a, b = root(i), root(int(j))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, int(j)))
-    return out
+            if rep[a] > rep[b]:
+                a, b = b, a
+            parent[b] = a
+    roots = np.array([root(i) for i in range(len(rep))])
+    own = np.flatnonzero(rep[roots] != rep)
+    return rep[own].tolist(), rep[roots[own]].tolist()
 
 
 def _edges(u: list, v: list) -> pa.RecordBatch:
@@ -158,7 +162,7 @@ def _edges(u: list, v: list) -> pa.RecordBatch:
 
 
 def candidates(tiles: DataFrame, threshold: float) -> DataFrame:
-    """Forest edges between classes of a bucket whose signatures agree well enough."""
+    """Stars of the classes of a bucket whose signatures agree well enough."""
     least = int(np.ceil((threshold - MARGIN) * BANDS * ROWS))
 
     def compare(batches):
@@ -181,16 +185,16 @@ def candidates(tiles: DataFrame, threshold: float) -> DataFrame:
                             ok &= c[i + 1 :] != c[i]
                         yield i, np.flatnonzero(ok) + i + 1
 
-                for i, j in _forest(b - a, hits()):
-                    u.append(r[i])
-                    v.append(r[j])
+                us, vs = _stars(r, hits())
+                u += us
+                v += vs
             yield _edges(u, v)
 
     return tiles.select("key", "ci", "cj", "chunk", "rep", "sig").mapInArrow(compare, "u long, v long")
 
 
 def confirmed(tiles: DataFrame, k: int, percent: int) -> DataFrame:
-    """Forest edges of the links 100 * |A & B| >= percent * |A | B| in each tile of a cluster, on full sets."""
+    """Stars of the links 100 * |A & B| >= percent * |A | B| in each tile of a cluster, on full sets."""
 
     def confirm(batches):
         for t, cuts in _groups(batches):
@@ -227,9 +231,9 @@ def confirmed(tiles: DataFrame, k: int, percent: int) -> DataFrame:
                         mark[mine] = 0
                         yield i, rest[100 * both >= percent * (sizes[rest] + sizes[i] - both)]
 
-                for i, j in _forest(b - a, hits()):
-                    u.append(r[i])
-                    v.append(r[j])
+                us, vs = _stars(r, hits())
+                u += us
+                v += vs
             yield _edges(u, v)
 
     return tiles.select("key", "ci", "cj", "chunk", "rep", "s1", "text").mapInArrow(confirm, "u long, v long")
