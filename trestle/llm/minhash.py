@@ -246,21 +246,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = cut(classes, "minhash-classes")
     keys = bands(reps)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = keys.join(shared.select(F.col("key").alias("k2"), "size"), F.col("key") == F.col("k2")).select("key", "size", "rep")
-    with_sig = met.join(reps.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2")).select("key", "size", "rep", "sig")
+    met = keys.join(shared.select(F.col("key").alias("k2"), "size").hint("merge"), F.col("key") == F.col("k2")).select("key", "size", "rep")
+    with_sig = met.join(reps.select(F.col("rep").alias("r2"), "sig").hint("merge"), F.col("rep") == F.col("r2")).select("key", "size", "rep", "sig")
     clusters = components(candidates(tiled(with_sig, "key", "size"), percent / 100), "minhash-clusters")
     member = clusters.union(clusters.select("component", "component")).distinct().toDF("rep", "key")
     member = member.join(member.groupBy("key").agg(F.count("*").alias("size")).select(F.col("key").alias("k2"), "size"), F.col("key") == F.col("k2")).select("rep", "key", "size")
     member = cut(member.join(reps.select(F.col("rep").alias("r2"), "s1"), F.col("rep") == F.col("r2")).select("rep", "key", "size", "s1"), "minhash-members")
     texts = docs.select(F.col("doc_id").cast("long").alias("d2"), F.col("text").cast("string").alias("text"))
-    full = member.join(texts, F.col("rep") == F.col("d2")).select("key", "size", "rep", "s1", "text")
+    # one plan at every size: never a broadcast that turns into a shuffle as the members grow
+    full = member.join(texts.hint("merge"), F.col("rep") == F.col("d2")).select("key", "size", "rep", "s1", "text")
     found = components(confirmed(tiled(full, "key", "size"), k, percent), "minhash-components")
     named = reps.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("component", "rep").alias("component_id")
     )
     named = cut(named, "minhash-named")
     same = (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn"))
-    out = sign.select("doc_id", "n_shingles", "s1", "s2").join(named, same, "left")
+    out = sign.select("doc_id", "n_shingles", "s1", "s2").join(named.hint("merge"), same, "left")
     comp = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
 
