@@ -49,15 +49,24 @@ def compact(column: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), f"{WS}+", "")
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ngrams(column: Column) -> Column:
     """Distinct 2- to 4-character grams of the compact text, and its ASCII tokens."""
-    c = compact(column)
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
     none = F.array().cast("array<string>")
-    one = lambda n: F.when(
-        F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, n), ""))
-    ).otherwise(none)
-    return F.array_distinct(F.concat(*[one(n) for n in GRAM_SIZES], F.regexp_extract_all(c, F.lit(r"([a-z0-9_+.-]{2,})"), F.lit(1))))
+
+    def grams(ch: Column) -> Column:
+        one = lambda n: F.when(
+            F.size(ch) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ch) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(ch, i, n), ""))
+        ).otherwise(none)
+        return F.concat(*[one(n) for n in GRAM_SIZES])
+
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(r"([a-z0-9_+.-]{2,})"), F.lit(1))
+    return F.array_distinct(bound(compact(column), lambda c: F.concat(bound(chars(c), grams), tokens(c))))
 
 
 def numbered_items(column: Column) -> Column:
@@ -73,8 +82,7 @@ def label_cells(text: Column, cells: Column) -> Column:
 def row_cells(text: Column) -> Column:
     """Parts of a row's text without blanks and without repeats side by side (merged cells)."""
     full = F.filter(F.transform(F.split(text, r"\|"), strip), lambda x: x != "")
-    one = F.transform(F.array(full), lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.coalesce(F.get(a, i - 1), F.lit("")))))
-    return F.get(one, 0)
+    return bound(full, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.coalesce(F.get(a, i - 1), F.lit("")))))
 
 
 def redact_text(column: Column) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trestle.functions.text import ngrams
+from trestle.functions.text import GRAM_SIZES, compact, ngrams
 
 #: Scores are whole numbers: parts of SCALE per gram, so that sums don't depend on their order.
 SCALE = 1_000_000_000_000
 #: Query grams up to this number are broadcast; beyond, the join is left to the planner.
 MOST_BROADCAST = 200_000
+#: Up to this number they are looked for in the text itself.
+MOST_LITERAL = 400
 QUOTE = 1200
 
 
@@ -19,6 +21,20 @@ def postings(blocks: DataFrame) -> DataFrame:
     return blocks.select("report_id", "block_pos", F.explode(ngrams(F.col("text"))).alias("gram"))
 
 
+def matching(blocks: DataFrame, grams: list[str]) -> DataFrame:
+    """The postings of a few given grams without making the others: up to 4 characters, a block has a gram if its
+    compact text contains it; a longer one has to be one of its tokens."""
+    if not grams:
+        return postings(blocks).limit(0)
+    short, long = [g for g in grams if len(g) <= max(GRAM_SIZES)], [g for g in grams if len(g) > max(GRAM_SIZES)]
+    literal = lambda gs: F.array(*[F.lit(g) for g in gs]) if gs else F.array().cast("array<string>")
+    c = F.col("compact_")
+    tokens = F.array_intersect(literal(long), F.regexp_extract_all(c, F.lit(r"([a-z0-9_+.-]{2,})"), F.lit(1))) if long else literal([])
+    found = F.concat(F.filter(literal(short), lambda g: F.contains(c, g)), tokens)
+    rows = blocks.select("report_id", "block_pos", compact(F.col("text")).alias("compact_"))
+    return rows.select("report_id", "block_pos", F.explode(found).alias("gram"))
+
+
 def write_index(blocks: DataFrame, path: str) -> None:
     """Postings clustered by gram, and blocks, both as Parquet with the format's version."""
     postings(blocks).repartition("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/postings")
@@ -44,9 +60,13 @@ def search_batch(blocks: DataFrame, queries: DataFrame, k: int = 8, within: str
     """
     grams = queries.select("query_id", F.explode(ngrams(F.col("query"))).alias("g"))
     wanted = grams.select("g").distinct()
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    posts = postings(blocks) if posts is None else posts
-    hit = posts.join(F.broadcast(wanted) if few else wanted, F.col("gram") == F.col("g"), "left_semi")
+    known = [r["g"] for r in wanted.limit(MOST_LITERAL + 1).collect()] if posts is None else None
+    if known is not None and len(known) <= MOST_LITERAL:
+        hit = matching(blocks, sorted(known))
+    else:
+        few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        posts = postings(blocks) if posts is None else posts
+        hit = posts.join(F.broadcast(wanted) if few else wanted, F.col("gram") == F.col("g"), "left_semi")
     df = document_frequency(hit).select(F.col("gram").alias("g2"), "df")
     kept = hit if within is None else hit.filter(F.col("report_id") == within)
     score = F.sum(F.expr(f"{SCALE} div df"))
