@@ -1,7 +1,278 @@
-"""Placeholder until the operator lands in this round."""
+"""Removal of byte strings that repeat across a corpus, exact for every 200-byte string.
 
+1. Anchors: of each 200-byte window the 32-byte gram with the least hash. Equal windows have equal anchors at the same
+   place, and the windows of one anchor follow each other. A text leaves one row per anchor (about one per 85 bytes):
+   the gram's hash, the hash of all that its windows cover (its context), and where that is.
+2. Grams found once hold no repeat. Contexts found twice repeat as a whole. What is left are contexts that share a
+   gram and differ somewhere: the rims of repeated passages.
+3. Groups of such contexts are sorted by suffix: the linear grouping construction (``suffix_array``) over the group's
+   contexts end to end, then common prefixes of neighbours. A window repeats if a neighbour shares 200 bytes.
+   Groups of more than ``MOST_CONTEXTS`` (a passage that very many documents share) are not put into one task: their
+   windows are counted by a 128-bit hash, which is as exact and can be dealt to any number of tasks.
+4. Covered bytes are merged per document, and removed.
+
+Strings are judged on the input; matches never cross documents. Defined cases: null text is the empty text; texts
+under 200 bytes lose nothing; equal rows repeat each other; overlapping repeats within a text count; an empty table
+gives no rows; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from trestle.llm.hashing import _VALUES, U, mix, powers
+from trestle.llm.shared import cut, text_of
+
+SIZE, GRAM, MOST_CONTEXTS = 200, 32, 100
+_POS_BITS = 28  # a text has less than 2**28 bytes; the hash of a gram keeps 36 bits when grams of a window are compared
+_BASE = 0x9E3779B97F4A7C15
+
+
+def suffix_array(s: list[int]) -> list[int]:
+    """Suffix array of a sequence of positive numbers, by groups of equal Lyndon prefixes.
+
+    Groups begin as the sets of suffixes with the same first number. From the largest down, each suffix of a group
+    finds its previous smaller one (the nearest on the left in a group not yet taken); those found leave their group
+    for a new one right above it, the more often found the higher. In the end groups are ordered by Lyndon prefix, and
+    a pass upwards puts each suffix in its place: behind the sorted suffix to its right, along the pointers.
+    """
+    n = len(s)
+    if not n:
+        return []
+    members: dict[int, dict[int, None]] = {}
+    by_value: dict[int, list[int]] = {}
+    for i, v in enumerate(s):
+        by_value.setdefault(v, []).append(i)
+    group, below, above, last = [0] * n, {}, {}, None
+    for g, v in enumerate(sorted(by_value)):
+        members[g] = dict.fromkeys(by_value[v])
+        below[g], above[g] = last, None
+        if last is not None:
+            above[last] = g
+        last = g
+        for i in by_value[v]:
+            group[i] = g
+    fresh, taken, prev, g = len(members), [False] * n, [-1] * n, last
+    bottom = 0
+    while g is not None:
+        own = sorted(members[g])
+        for i in own:
+            taken[i] = True
+        times: dict[int, int] = {}
+        for i in own:
+            j = i - 1
+            while j >= 0 and taken[j]:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0:
+                times[j] = times.get(j, 0) + 1
+        by_times: dict[int, dict[int, list[int]]] = {}
+        for j, t in times.items():
+            by_times.setdefault(t, {}).setdefault(group[j], []).append(j)
+        for t in sorted(by_times, reverse=True):
+            for old, js in by_times[t].items():
+                if len(js) == len(members[old]):
+                    continue  # all of the group would move right above its own place
+                members[fresh] = dict.fromkeys(js)
+                for j in js:
+                    del members[old][j]
+                    group[j] = fresh
+                up = above[old]
+                below[fresh], above[fresh], above[old] = old, up, fresh
+                if up is not None:
+                    below[up] = fresh
+                fresh += 1
+        g = below[g]
+    start, at, g = {}, 0, bottom
+    while g is not None:
+        start[g] = at
+        at += len(members[g])
+        g = above[g]
+    out, placed = [-1] * n, [False] * n
+
+    def place(j: int) -> None:
+        while j >= 0 and not placed[j]:
+            out[start[group[j]]] = j
+            start[group[j]] += 1
+            placed[j] = True
+            j = prev[j]
+
+    place(n - 1)
+    for k in range(n):
+        place(out[k] - 1)
+    return out
+
+
+def repeats(contexts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
+    """For each context, the starts of its ``size``-byte strings that start anywhere else in the contexts, too."""
+    s: list[int] = []
+    ends: list[int] = []
+    for c in contexts:
+        s += [b + 2 for b in c]
+        ends += [len(s)] * (len(c) + 1)
+        s.append(1)
+    order = suffix_array(s)
+    n = len(s)
+    rank = [0] * n
+    for k, i in enumerate(order):
+        rank[i] = k
+    hit, h = np.zeros(n, bool), 0
+    for i in range(n):
+        if rank[i] == 0:
+            h = 0
+            continue
+        j = order[rank[i] - 1]
+        top = min(ends[i] - i, ends[j] - j)
+        h = min(h, max(top, 0))
+        while h < top and s[i + h] == s[j + h]:
+            h += 1
+        if h >= size:
+            hit[i] = hit[j] = True
+        h = max(h - 1, 0)
+    out, at = [], 0
+    for c in contexts:
+        out.append(np.flatnonzero(hit[at : at + len(c)]))
+        at += len(c) + 1
+    return out
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(data) + 1, U)
+    np.cumsum(_VALUES[data] * powers(len(data)), out=total[1:])
+    return total
+
+
+def _hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix((total[end] - total[start]) * powers(len(total), pow(_BASE, -1, 2**64))[start] + (end - start).astype(U))
+
+
+def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, context hash, first window, last window) for each anchor of a text."""
+    n = len(raw)
+    none = np.empty(0, np.int64)
+    if n < SIZE:
+        return none.astype(U), none.astype(U), none, none
+    total = _sums(np.frombuffer(raw, np.uint8))
+    at = np.arange(n - GRAM + 1)
+    gram = _hashes(total, at, at + GRAM)
+    w = SIZE - GRAM + 1
+    v = ((gram >> U(_POS_BITS)) << U(_POS_BITS)) | at.astype(U)
+    pad = np.full(-len(v) % w, U(2**64 - 1))
+    rows = np.concatenate([v, pad]).reshape(-1, w)
+    ahead = np.minimum.accumulate(rows, 1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
+    m = n - SIZE + 1
+    least = (np.minimum(behind[:m], ahead[w - 1 : w - 1 + m]) & U((1 << _POS_BITS) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    final = np.append(first[1:], m) - 1
+    a = least[first]
+    context = mix(_hashes(total, first, final + SIZE) + (a - first).astype(U) * U(0xD1342543DE82EF95))
+    return gram[a], context, first, final
+
+
+_ROW = "key long, ctx long, doc_id long, th long, lo int, hi int"
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("raw"))
+
+
+def anchor_rows(docs: DataFrame) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                piece = batch.slice(lo, 1000)
+                found = [anchors(r) for r in piece.column(2).to_pylist()]
+                sizes = np.array([len(f[2]) for f in found], np.int64)
+                cols = [np.concatenate([f[k] for f in found]) for k in range(4)]
+                own = np.repeat(np.arange(len(found)), sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), piece.column(0).take(pa.array(own)), piece.column(1).take(pa.array(own)),
+                     pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["key", "ctx", "doc_id", "th", "lo", "hi"],
+                )
+
+    return _texts(docs).mapInArrow(each, _ROW)
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``th``, ``a``, ``b``: runs of windows, first to last start, that repeat; a document may have many."""
+    rows = cut(anchor_rows(docs), "suffix-anchors")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).filter("n > 1")
+    met = rows.join(keys.select(F.col("key").alias("k2"), (F.col("c1") == F.col("c2")).alias("same")).hint("merge"), F.col("key") == F.col("k2"))
+    met = cut(met.select("key", "ctx", "doc_id", "th", "lo", "hi", "same"), "suffix-met")
+    whole = met.filter("same").select("doc_id", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    mixed = met.filter("not same")
+    classes = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("r"))
+    classes = cut(classes.select("key", "ctx", "n", "r.*"), "suffix-classes")
+    twice = classes.filter("n > 1").select(F.col("key").alias("k2"), F.col("ctx").alias("x2"))
+    again = mixed.join(twice.hint("merge"), (F.col("key") == F.col("k2")) & (F.col("ctx") == F.col("x2"))).select("doc_id", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    sizes = classes.groupBy("key").agg(F.count("*").alias("size")).select(F.col("key").alias("k2"), "size")
+    sized = classes.join(sizes.hint("merge"), F.col("key") == F.col("k2")).drop("k2")
+    texts = _texts(docs).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "raw")
+    held = sized.join(texts.hint("merge"), (F.col("doc_id") == F.col("d2")) & (F.col("th") == F.col("t2")))
+    held = cut(held.select("key", "size", "n", "doc_id", "th", "lo", F.expr("substring(raw, lo + 1, hi - lo + 200)").alias("context")), "suffix-contexts")
+
+    def sort(table: pa.Table) -> pa.Table:
+        t = table.to_pydict()
+        out: dict[str, list] = {"doc_id": [], "th": [], "a": [], "b": []}
+        for k, starts in enumerate(repeats(t["context"])):
+            if t["n"][k] == 1 and len(starts):
+                edge = np.flatnonzero(np.diff(starts) > 1)
+                for a, b in zip(starts[np.append(0, edge + 1)], starts[np.append(edge, len(starts) - 1)], strict=True):
+                    for name, x in zip(out, (t["doc_id"][k], t["th"][k], t["lo"][k] + int(a), t["lo"][k] + int(b)), strict=True):
+                        out[name].append(x)
+        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "th": pa.array(out["th"], pa.int64()), "a": pa.array(out["a"], pa.int32()), "b": pa.array(out["b"], pa.int32())})
+
+    def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                t = batch.slice(lo, 1000).to_pydict()
+                parts = []
+                for k, c in enumerate(t["context"]):
+                    total = _sums(np.frombuffer(c, np.uint8))
+                    at = np.arange(len(c) - SIZE + 1)
+                    h = _hashes(total, at, at + SIZE)
+                    half = _hashes(total, at + 7, at + 101)
+                    parts.append((h, half, np.full(len(at), t["doc_id"][k]), np.full(len(at), t["th"][k]), at + t["lo"][k], np.full(len(at), t["n"][k])))
+                cols = [np.concatenate([p[k] for p in parts]) for k in range(6)] if parts else [np.empty(0, np.int64)] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c.astype(np.int64) if k > 1 else c.view(np.int64)) for k, c in enumerate(cols)], names=["w1", "w2", "doc_id", "th", "at", "n"]
+                )
+
+    small = held.filter(F.col("size") <= MOST_CONTEXTS).groupBy("key").applyInArrow(sort, "doc_id long, th long, a int, b int")
+    wide = held.filter(F.col("size") > MOST_CONTEXTS).select("doc_id", "th", "lo", "n", "context").mapInArrow(window_hashes, "w1 long, w2 long, doc_id long, th long, at long, n long")
+    met2 = wide.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"))
+    single = wide.filter("n = 1").join(met2.hint("merge"), (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")))
+    large = single.select("doc_id", "th", F.col("at").cast("int").alias("a"), F.col("at").cast("int").alias("b"))
+    return whole.union(again).union(small).union(large)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    raise NotImplementedError
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` of every document."""
+    found = spans(docs).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
+    found = found.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.transform("s", lambda x: x["a"]).alias("a"), F.transform("s", lambda x: x["b"]).alias("b"))
+    rows = _texts(docs).join(found.hint("merge"), (F.col("doc_id") == F.col("d2")) & (F.col("th") == F.col("t2")), "left").select("doc_id", "raw", "a", "b")
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, raw, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data, mark = np.frombuffer(raw, np.uint8), np.zeros(len(raw) + 1, np.int32)
+                if a is not None:
+                    np.add.at(mark, np.array(a), 1)
+                    np.add.at(mark, np.array(b) + SIZE, -1)
+                gone = np.cumsum(mark)[:-1] > 0
+                edges = int(((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum())) if len(gone) else 0
+                out.append((doc_id, len(raw), int(gone.sum()), edges, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            types = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return rows.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
