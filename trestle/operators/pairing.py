@@ -8,13 +8,14 @@ import tempfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trestle.functions.text import bridge_aliases, matches_split, normalized_stem, report_code, year_of
 
 FUZZY, FRACTION, SEED = 0.85, 0.2, "city-inspection-v1"
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 

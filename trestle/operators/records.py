@@ -13,7 +13,6 @@ STRINGS = [
     "bridge_name", "report_number", "inspection_date", "overall_grade", "previous_overall_grade", "disease_trend", "summary", "report_quality",
 ]
 LISTS = ["key_risks", "detailed_conclusion", "disease_causes", "disposal_recommendations", "safety_impacts", "recommendations", "uncertain_fields"]
-EVIDENCE = T.ArrayType(T.StructType.fromDDL("source_id string, quote string, kind string, table_index int, row_index int, page int"))
 NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
 SCORE = rf"(?i)(?:BCI|总体(?:技术状况)?评分|总体评分){WS}*[=:：]?{WS}*{NUMBER}"
 GRADE = rf"(?i)(?:总体(?:技术状况)?等级|总体等级|整体技术状况(?:等级)?评定为|技术状况等级评定为){WS}*(?:为|：|:)??{WS}*([A-DＡ-Ｄ]){WS}*级?"
