@@ -1,13 +1,16 @@
 """Byte-level BPE over a corpus: every distinct word is encoded once.
 
-1. ``coded``: texts are cut into pre-tokens in the JVM; a task groups documents into blocks of bounded size and
-   replaces each pre-token by its slot in the block's own dictionary. A document becomes its slots, in order: the
-   positions. Words leave the block once each.
-2. ``encode_words``: the words of all blocks meet in one distinct shuffle; each is encoded once.
-3. ``encoded``: the ids join back on the word (an ordinary equi-join; a word of every block has one row a block,
-   which adaptive execution may split), return to their block, and documents are reassembled by position.
+1. Texts are cut into pre-tokens in the JVM. A task groups documents into blocks of bounded size; a block numbers its
+   distinct words by (hash bucket, word), so that a document becomes the numbers of its words in order: the positions.
+2. Words leave their block once each, packed by hash bucket, and meet the words of all other blocks there: the
+   distinct-word shuffle. A bucket encodes each distinct word once and sends ids back, packed, in the order received.
+3. A block's ids, bucket by bucket, are then in the order of its word numbers: joined back on the block, they are
+   gathered by position into documents.
 4. ``decoded``: the ids are looked up in the token-byte table, whose size is that of the vocabulary file.
 
+A word that is in every block has one entry a block in its bucket, however often it occurs. Blocks are numbered by
+input split and place in it, which a repeated task repeats.
+
 Defined cases: null text is the empty text: no ids. Equal documents are encoded each. Rows with the same doc_id
 stay apart (a row is a position in its block). Other columns of the input are ignored.
 """
@@ -15,11 +18,13 @@ stay apart (a row is a position in its block). Other columns of the input are ig
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +32,8 @@ from pyspark.sql import functions as F
 from trestle.llm.shared import cut, text_of
 from trestle.llm.vocab import encoder, token_bytes
 
-#: A block is closed when it has so many pre-tokens or documents; the last document may go beyond.
-BLOCK_WORDS, BLOCK_DOCS = 1_500_000, 20_000
-
-CODED = "block long, kind int, doc_id long, at int, word string, slots binary"
+#: A block is closed when it has so many pre-tokens or documents; the last piece of 500 documents may go beyond.
+BLOCK_WORDS, BLOCK_DOCS = 3_000_000, 20_000
 
 
 def java_pattern(pattern: str) -> str:
@@ -38,61 +41,111 @@ def java_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def coded(docs: DataFrame, pattern: str) -> DataFrame:
-    """Rows of kind 0 (word ``at`` slot of its block) and kind 1 (document ``at`` place of its block, its slots)."""
-    words = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text_of(docs), F.lit(java_pattern(pattern)), F.lit(0)).alias("words")
-    )
+def _packed(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays of known types end to end, each after its length, compressed."""
+    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p).tobytes() for p in parts]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x for p in raw for x in (len(p).to_bytes(8, "little"), p)))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, n_words, n_docs = TaskContext.get().partitionId(), 0, [], 0, 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                piece = batch.slice(lo, 500)
-                held.append(piece)
-                n_words += len(piece.column(1).flatten())
-                n_docs += piece.num_rows
-                if n_words >= BLOCK_WORDS or n_docs >= BLOCK_DOCS:
-                    yield from block((part << 32) + seq, held)
-                    seq, held, n_words, n_docs = seq + 1, [], 0, 0
-        if held:
-            yield from block((part << 32) + seq, held)
-
-    def block(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.chunked_array([b.column(1).flatten() for b in held]).combine_chunks()
-        words = words if isinstance(words, pa.Array) else pa.concat_arrays(words.chunks)
+
+def _unpacked(data: bytes) -> list[bytes]:
+    raw, out, at = zstandard.ZstdDecompressor().decompress(data), [], 0
+    while at < len(raw):
+        n = int.from_bytes(raw[at : at + 8], "little")
+        out.append(raw[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], buckets: int):
+    """(number, doc_ids, words per document, words by number as bytes, their buckets, numbers) of each block."""
+    part, seq, held, n_words, n_docs = TaskContext.get().partitionId(), 0, [], 0, 0
+
+    def block():
+        words = pa.concat_arrays([b.column(1).flatten().cast(pa.large_binary()) for b in held])
         sizes = np.concatenate([pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False) for b in held]).astype(np.int64)
-        ids = pa.concat_arrays([b.column(0).cast(pa.int64()) for b in held])
+        ids = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])
         found = words.dictionary_encode()
-        slots = found.indices.to_numpy(zero_copy_only=False)
-        n, m = len(found.dictionary), len(ids)
-        slots = slots.astype("<u2" if n <= 1 << 16 else "<u4")
-        ends = np.concatenate([[0], np.cumsum(sizes)]) * slots.itemsize
-        raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), m, [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(slots.tobytes())])
-        yield _rows(number, 0, pa.nulls(n, pa.int64()), np.arange(n), found.dictionary.cast(pa.string()), pa.nulls(n, pa.binary()))
-        # the width of a slot goes in ``word``
-        yield _rows(number, 1, ids, np.arange(m), pa.array([str(slots.itemsize)] * m, pa.string()), raw.cast(pa.binary()))
-
-    def _rows(number, kind, ids, at, word, slots):
-        n = len(at)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, number, np.int64)), pa.array(np.full(n, kind, np.int32)), ids, pa.array(at.astype(np.int32)), word, slots],
-            names=["block", "kind", "doc_id", "at", "word", "slots"],
-        )
+        own = found.dictionary.to_pylist()
+        home = np.fromiter((zlib.crc32(w) % buckets for w in own), np.int64, len(own))
+        order = sorted(range(len(own)), key=lambda k: (home[k], own[k]))
+        number = np.empty(len(own), np.uint32)
+        number[order] = np.arange(len(own), dtype=np.uint32)
+        return (part << 32) + seq, ids, sizes, [own[k] for k in order], home[order], number[found.indices.to_numpy(zero_copy_only=False)]
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            piece = batch.slice(lo, 500)
+            held.append(piece)
+            n_words += len(piece.column(1).flatten())
+            n_docs += piece.num_rows
+            if n_words >= BLOCK_WORDS or n_docs >= BLOCK_DOCS:
+                yield block()
+                seq, held, n_words, n_docs = seq + 1, [], 0, 0
+    if held:
+        yield block()
+
+
+def _pre_tokens(docs: DataFrame, pattern: str) -> DataFrame:
+    found = F.regexp_extract_all(text_of(docs), F.lit(java_pattern(pattern)), F.lit(0))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), found.alias("words"))
+
+
+def coded(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """``block``, ``packed``: the documents of a block as numbers of its words, in order."""
+
+    def each(batches):
+        for number, ids, sizes, words, _, at in _blocks(batches, buckets):
+            at = at.astype("<u2") if len(words) <= 1 << 16 else at
+            data = _packed(ids.astype("<i8"), sizes.astype("<u4"), bytes([at.itemsize]), at)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([data], pa.binary())], names=["block", "packed"])
+
+    return _pre_tokens(docs, pattern).mapInArrow(each, "block long, packed binary")
+
+
+def distinct_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """``bucket``, ``home`` (block), ``packed``: each distinct word of a block, in the order of their numbers."""
+
+    def each(batches):
+        for number, _, _, words, home, _ in _blocks(batches, buckets):
+            edge = np.searchsorted(home, np.arange(buckets + 1))
+            some = [k for k in range(buckets) if edge[k] < edge[k + 1]]
+            data = []
+            for k in some:
+                own = words[edge[k] : edge[k + 1]]
+                data.append(_packed(np.fromiter(map(len, own), "<u4", len(own)), b"".join(own)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "home", "packed"]
+            )
 
-    return words.mapInArrow(blocks, CODED)
+    return _pre_tokens(docs, pattern).mapInArrow(each, "bucket int, home long, packed binary")
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``word`` -> ``ids`` (array<int>) for distinct pre-tokens, each by the ranks alone."""
+    """The same rows with ids for words (numbers of ids, then ids); within a bucket each distinct word is encoded once."""
 
     def encode(batches):
-        own = encoder(path, pattern)
+        own, bucket, known = encoder(path, pattern), None, {}
         for batch in batches:
-            found = [own.encode_ordinary(w) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.mapInArrow(encode, "word string, ids array<int>")
+            out = []
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
+                sizes, raw = _unpacked(data)
+                ids, at = [], 0
+                for n in np.frombuffer(sizes, "<u4").tolist():
+                    word = raw[at : at + n]
+                    at += n
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = own.encode_ordinary(word.decode())
+                    ids.append(found)
+                flat = np.fromiter((i for x in ids for i in x), "<u4")
+                flat = flat.astype("<u2") if own.max_token_value < 1 << 16 else flat
+                out.append(_packed(np.fromiter(map(len, ids), "<u4", len(ids)), bytes([flat.itemsize]), flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["bucket", "home", "packed"])
+
+    dealt = words.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(encode, "bucket int, home long, packed binary")
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -104,29 +157,36 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids`` (array<int>) of every document."""
-    table = cut(coded(docs, pattern), "bpe-coded")
-    words = table.filter("kind = 0").select(F.col("block").alias("home"), F.col("at").alias("slot"), "word")
-    codes = encode_words(words.select("word").distinct(), path, pattern)
-    back = words.join(codes, "word").select("home", "slot", "ids")
+    """``doc_id``, ``ids`` (array<int>) of every document.
+
+    The documents are read twice and must come in the same order: input that was shuffled is written first.
+    """
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = cut(docs.select("doc_id", "text"), "bpe-input")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    back = encode_words(distinct_words(docs, pattern, buckets), path, pattern)
 
     def assemble(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        left, right = left.combine_chunks().sort_by("at"), right.sort_by("slot").combine_chunks()
-        lists = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.list_(pa.int32()))
-        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        values = lists.flatten().to_numpy(zero_copy_only=False)
+        counts, values = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for data in right.sort_by("bucket").column("packed").to_pylist():
+            sizes, width, ids = _unpacked(data)
+            counts.append(np.frombuffer(sizes, "<u4").astype(np.int64))
+            values.append(np.frombuffer(ids, f"<u{width[0]}").astype(np.int32))
+        sizes, flat = np.concatenate(counts), np.concatenate(values)
         starts = np.cumsum(sizes) - sizes
-        ids, counts = [], []
-        for raw, width in zip(left.column("slots").to_pylist(), left.column("word").to_pylist(), strict=True):
-            slots = np.frombuffer(raw, "<u2" if width == "2" else "<u4")
-            ids.append(_gather(starts[slots], sizes[slots], values).astype(np.int32, copy=False))
-            counts.append(len(ids[-1]))
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        return pa.table({"doc_id": left.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))})
-
-    own = table.filter("kind = 1").select("block", "doc_id", "at", "word", "slots")
+        out_ids, out_lists = [], []
+        for data in left.column("packed").to_pylist():
+            doc_ids, n_words, width, at = _unpacked(data)
+            ends = np.cumsum(np.frombuffer(n_words, "<u4").astype(np.int64))
+            at = np.frombuffer(at, f"<u{width[0]}")
+            per_word = np.concatenate([[0], np.cumsum(sizes[at])])
+            offsets = np.concatenate([[0], per_word[ends]]).astype(np.int32)
+            parts = [_gather(starts[at[k : k + 500_000]], sizes[at[k : k + 500_000]], flat) for k in range(0, len(at), 500_000)]
+            out_ids.append(pa.array(np.frombuffer(doc_ids, "<i8")))
+            out_lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([flat[:0], *parts]), pa.int32())))
+        return pa.table({"doc_id": pa.chunked_array(out_ids, pa.int64()), "ids": pa.chunked_array(out_lists, pa.list_(pa.int32()))})
+
+    own = coded(docs, pattern, buckets)
     return own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 
