@@ -33,7 +33,7 @@ from trestle.llm.shared import cut, text_of
 from trestle.llm.vocab import encoder, token_bytes
 
 #: A block is closed when it has so many pre-tokens or documents; the last piece of 500 documents may go beyond.
-BLOCK_WORDS, BLOCK_DOCS = 3_000_000, 20_000
+BLOCK_WORDS, BLOCK_DOCS = 800_000, 20_000
 
 
 def java_pattern(pattern: str) -> str:
