@@ -35,8 +35,10 @@ def rows():
 
 
 @pytest.fixture(scope="module")
-def docs(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA)
+def docs(spark, rows, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
 
 
 @pytest.fixture(scope="module")
