@@ -59,13 +59,15 @@ def test_rules_measure_and_ablate(spark, docs, none, rows):
 
 def test_bpe_equals_library_and_round_trips(docs, none, rows):
     path, own = vocabulary(), encoder(vocabulary(), public_tokenizers.PATTERN)
-    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(bpe.encoded(docs, path, public_tokenizers.PATTERN), path).collect())
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, path, public_tokenizers.PATTERN).collect())
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = []
     for i, t, *_ in rows:
         ids = own.encode_ordinary(t or "")
         want.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())))
     assert got == sorted(want)
+    whole = bpe.decoded(bpe.encoded(docs, path, public_tokenizers.PATTERN), path).collect()
+    assert sorted((r.doc_id, len(r.ids), sha(bytes(r.bytes))) for r in whole) == sorted((i, n, d) for i, n, _, d in want)
     assert bpe.encoded(none, path, public_tokenizers.PATTERN).count() == 0
 
 

@@ -8,8 +8,8 @@
    gathered by position into documents.
 4. ``decoded``: the ids are looked up in the token-byte table, whose size is that of the vocabulary file.
 
-A word that is in every block has one entry a block in its bucket, however often it occurs. Blocks are numbered by
-input split and place in it, which a repeated task repeats.
+A word that is in every block has one entry a block in its bucket, however often it occurs. Texts are read once: blocks
+are written to the shared folder in files by block, where the ids meet them without a second shuffle.
 
 Defined cases: null text is the empty text: no ids. Equal documents are encoded each. Rows with the same doc_id
 stay apart (a row is a position in its block). Other columns of the input are ignored.
@@ -18,6 +18,7 @@ stay apart (a row is a position in its block). Other columns of the input are ig
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trestle.llm.shared import cut, text_of
+from trestle.llm.shared import fresh_path, text_of
 from trestle.llm.vocab import encoder, token_bytes
 
 #: A block is closed when it has so many pre-tokens or documents; the last piece of 500 documents may go beyond.
 BLOCK_WORDS, BLOCK_DOCS = 800_000, 20_000
+DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
 def java_pattern(pattern: str) -> str:
@@ -67,10 +69,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int):
         found = words.dictionary_encode()
         own = found.dictionary.to_pylist()
         home = np.fromiter((zlib.crc32(w) % buckets for w in own), np.int64, len(own))
-        order = sorted(range(len(own)), key=lambda k: (home[k], own[k]))
+        by_word = pc.sort_indices(found.dictionary).to_numpy()
+        order = by_word[np.argsort(home[by_word], kind="stable")]
         number = np.empty(len(own), np.uint32)
         number[order] = np.arange(len(own), dtype=np.uint32)
-        return (part << 32) + seq, ids, sizes, [own[k] for k in order], home[order], number[found.indices.to_numpy(zero_copy_only=False)]
+        return (part << 32) + seq, ids, sizes, [own[k] for k in order.tolist()], home[order], number[found.indices.to_numpy(zero_copy_only=False)]
 
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -90,34 +93,30 @@ def _pre_tokens(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), found.alias("words"))
 
 
-def coded(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """``block``, ``packed``: the documents of a block as numbers of its words, in order."""
+def block_table(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """Blocks, written once to the shared folder in files by ``home`` (the block): ``kind`` 0 has the documents of a
+    block as numbers of its words, in order; ``kind`` 1 has its distinct words of one ``bucket``, in the order of their
+    numbers."""
 
     def each(batches):
-        for number, ids, sizes, words, _, at in _blocks(batches, buckets):
-            at = at.astype("<u2") if len(words) <= 1 << 16 else at
-            data = _packed(ids.astype("<i8"), sizes.astype("<u4"), bytes([at.itemsize]), at)
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([data], pa.binary())], names=["block", "packed"])
-
-    return _pre_tokens(docs, pattern).mapInArrow(each, "block long, packed binary")
-
-
-def distinct_words(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """``bucket``, ``home`` (block), ``packed``: each distinct word of a block, in the order of their numbers."""
-
-    def each(batches):
-        for number, _, _, words, home, _ in _blocks(batches, buckets):
+        for number, ids, sizes, words, home, at in _blocks(batches, buckets):
             edge = np.searchsorted(home, np.arange(buckets + 1))
             some = [k for k in range(buckets) if edge[k] < edge[k + 1]]
             data = []
             for k in some:
                 own = words[edge[k] : edge[k + 1]]
                 data.append(_packed(np.fromiter(map(len, own), "<u4", len(own)), b"".join(own)))
+            at = at.astype("<u2") if len(words) <= 1 << 16 else at
+            data.append(_packed(ids.astype("<i8"), sizes.astype("<u4"), bytes([at.itemsize]), at))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([number] * len(some), pa.int64()), pa.array(data, pa.binary())], names=["bucket", "home", "packed"]
+                [pa.array([*some, -1], pa.int32()), pa.array([number] * len(data), pa.int64()), pa.array(data, pa.binary()), pa.array([1] * len(some) + [0], pa.int32())],
+                names=["bucket", "home", "packed", "kind"],
             )
 
-    return _pre_tokens(docs, pattern).mapInArrow(each, "bucket int, home long, packed binary")
+    spark, name = docs.sparkSession, f"trestle_blocks_{uuid.uuid4().hex}"
+    found = _pre_tokens(docs, pattern).mapInArrow(each, "bucket int, home long, packed binary, kind int")
+    found.write.partitionBy("kind").bucketBy(buckets, "home").option("path", fresh_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -156,70 +155,75 @@ def _gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.nda
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
 
 
-def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids`` (array<int>) of every document.
-
-    The documents are read twice and must come in the same order: input that was shuffled is written first.
-    """
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        docs = cut(docs.select("doc_id", "text"), "bpe-input")
+def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(doc_ids, lists of ids) of each block: the ids that came back are gathered by position."""
+    counts, values = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    for data in right.sort_by("bucket").column("packed").to_pylist():
+        sizes, width, ids = _unpacked(data)
+        counts.append(np.frombuffer(sizes, "<u4").astype(np.int64))
+        values.append(np.frombuffer(ids, f"<u{width[0]}").astype(np.int32))
+    sizes, flat = np.concatenate(counts), np.concatenate(values)
+    starts = np.cumsum(sizes) - sizes
+    for data in left.column("packed").to_pylist():
+        doc_ids, n_words, width, at = _unpacked(data)
+        ends = np.cumsum(np.frombuffer(n_words, "<u4").astype(np.int64))
+        at = np.frombuffer(at, f"<u{width[0]}")
+        per_word = np.concatenate([[0], np.cumsum(sizes[at])])
+        offsets = np.concatenate([[0], per_word[ends]]).astype(np.int32)
+        parts = [_gather(starts[at[k : k + 500_000]], sizes[at[k : k + 500_000]], flat) for k in range(0, len(at), 500_000)]
+        yield pa.array(np.frombuffer(doc_ids, "<i8")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([flat[:0], *parts]), pa.int32()))
+
+
+def _assembled(docs: DataFrame, path: str, pattern: str, finish, schema: str) -> DataFrame:
+    """``finish`` (a table of a block's documents from their ids) inside the task that gathers the block."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    back = encode_words(distinct_words(docs, pattern, buckets), path, pattern)
+    blocks = block_table(docs, pattern, buckets)
+    back = encode_words(blocks.filter("kind = 1").select("bucket", "home", "packed"), path, pattern)
+    own = blocks.filter("kind = 0").select("home", "packed")
 
     def assemble(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        counts, values = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        for data in right.sort_by("bucket").column("packed").to_pylist():
-            sizes, width, ids = _unpacked(data)
-            counts.append(np.frombuffer(sizes, "<u4").astype(np.int64))
-            values.append(np.frombuffer(ids, f"<u{width[0]}").astype(np.int32))
-        sizes, flat = np.concatenate(counts), np.concatenate(values)
-        starts = np.cumsum(sizes) - sizes
-        out_ids, out_lists = [], []
-        for data in left.column("packed").to_pylist():
-            doc_ids, n_words, width, at = _unpacked(data)
-            ends = np.cumsum(np.frombuffer(n_words, "<u4").astype(np.int64))
-            at = np.frombuffer(at, f"<u{width[0]}")
-            per_word = np.concatenate([[0], np.cumsum(sizes[at])])
-            offsets = np.concatenate([[0], per_word[ends]]).astype(np.int32)
-            parts = [_gather(starts[at[k : k + 500_000]], sizes[at[k : k + 500_000]], flat) for k in range(0, len(at), 500_000)]
-            out_ids.append(pa.array(np.frombuffer(doc_ids, "<i8")))
-            out_lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([flat[:0], *parts]), pa.int32())))
-        return pa.table({"doc_id": pa.chunked_array(out_ids, pa.int64()), "ids": pa.chunked_array(out_lists, pa.list_(pa.int32()))})
-
-    own = coded(docs, pattern, buckets)
-    return own.groupBy("block").cogroup(back.groupBy("home")).applyInArrow(assemble, "doc_id long, ids array<int>")
+        return pa.concat_tables([finish(*x) for x in _documents(left, right)])
+
+    return own.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(assemble, schema)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id``, ``ids`` (array<int>) of every document."""
+    return _assembled(docs, path, pattern, lambda ids, lists: pa.table({"doc_id": ids, "ids": lists}), "doc_id long, ids array<int>")
+
+
+def _bytes(lists: pa.Array, path: str) -> pa.Array:
+    """The bytes of lists of ids, joined with the token-byte table."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]))
+    pieces = token_bytes(path).take(lists.flatten())
+    return pc.binary_join(pa.LargeListArray.from_arrays(offsets, pieces), pa.scalar(b"", pa.large_binary()))
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``ids`` and ``bytes``: the ids' bytes, joined with the token-byte table inside each task."""
 
     def decode(batches):
-        table = token_bytes(path)
         for batch in batches:
-            lists = batch.column(1)
-            pieces = table.take(lists.flatten())
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]))
-            whole = pc.binary_join(pa.LargeListArray.from_arrays(offsets, pieces), pa.scalar(b"", pa.large_binary()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, whole.cast(pa.binary())], names=["doc_id", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes(batch.column(1), path).cast(pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return tokens.mapInArrow(decode, "doc_id long, ids array<int>, bytes binary")
 
 
-def digests(tokens: DataFrame, path: str) -> DataFrame:
-    """n_tokens, and hashes of the ids and of the decoded bytes, for each encoded document."""
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """n_tokens, and hashes of the ids and of the decoded bytes, for each document: encoded, decoded and hashed within
+    the task that gathers a block, so that ids and bytes never cross to the JVM."""
+    sha = lambda x: hashlib.sha256(x or b"").hexdigest()
 
-    def digest(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            names = lists.flatten().cast(pa.large_string())
+    def finish(doc_ids: pa.Array, lists: pa.Array) -> pa.Table:
+        out = []
+        for lo in range(0, len(lists), 200):
+            some = lists.slice(lo, 200)
+            sizes = pc.list_value_length(some).to_numpy(zero_copy_only=False).astype(np.int64)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]))
-            lines = pc.binary_join(pa.LargeListArray.from_arrays(offsets, names), pa.scalar(",", pa.large_string()))
-            sha = lambda x: hashlib.sha256(x or b"").hexdigest()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array([sha(x) for x in lines.cast(pa.large_binary()).to_pylist()]), pa.array([sha(x) for x in batch.column(2).to_pylist()])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            lines = pc.binary_join(pa.LargeListArray.from_arrays(offsets, some.flatten().cast(pa.large_string())), pa.scalar(",", pa.large_string()))
+            ids_sha = [sha(x) for x in lines.cast(pa.large_binary()).to_pylist()]
+            out.append(pa.table([doc_ids.slice(lo, 200), pa.array(sizes), pa.array(ids_sha), pa.array([sha(x) for x in _bytes(some, path).to_pylist()])], names=DIGESTS))
+        return pa.concat_tables(out)
 
-    return decoded(tokens, path).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _assembled(docs, path, pattern, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

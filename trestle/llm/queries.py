@@ -41,8 +41,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bpe.encoded(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
-    return bpe.digests(tokens, vocabulary())
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
