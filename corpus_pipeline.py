@@ -36,8 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: ids, and hashes of ids and of the decoded bytes."""
-    tokens = bpe.encoded(docs, vocabulary(), public_tokenizers.PATTERN)
-    return bpe.digests(tokens, vocabulary())
+    return bpe.digests(docs, vocabulary(), public_tokenizers.PATTERN)
 
 
 STAGES = [("quality_rules", rules), ("line_dedup", fuzzy_lines), ("minhash_near_dedup", near_documents), ("source_mixing", mix), ("byte_bpe", encode)]
