@@ -158,12 +158,13 @@ def _presence_lists(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Chain:
-    rows = _presence_lists(training_texts(docs, labels, "toxic", most)).orderBy("doc_id").toPandas()
-    n = len(rows)
-    sizes = np.array([len(w) for w in rows["words"]], np.int64)
-    word = np.concatenate(rows["words"].to_list()).astype(np.int64) if n else np.zeros(0, np.int64)
-    y = rows["y"].to_numpy(np.float64) if n else np.zeros(0)
-    return fit(np.repeat(np.arange(n), sizes), word, y, np.arange(n) % FOLDS)
+    rows = _presence_lists(training_texts(docs, labels, "toxic", most)).orderBy("doc_id").toArrow()
+    n, lists = len(rows), rows.column("words").chunks
+    of = np.repeat(np.arange(n, dtype=np.int32), pc.list_value_length(rows.column("words")).to_numpy())
+    word = np.concatenate([np.zeros(0, np.int32), *[x.flatten().to_numpy() for x in lists]])
+    y = rows.column("y").to_numpy().astype(np.float64)
+    del rows, lists
+    return fit(of, word, y, np.arange(n) % FOLDS)
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFrame:
