@@ -4,11 +4,14 @@
    place, and the windows of one anchor follow each other. A text leaves one row per anchor (about one per 85 bytes):
    the gram's hash, the hash of all that its windows cover (its context), and where that is.
 2. Grams found once hold no repeat. Contexts found twice repeat as a whole. What is left are contexts that share a
-   gram and differ somewhere: the rims of repeated passages.
+   gram and differ somewhere: the rims of repeated passages. Of a window's 168 bytes around its gram, 84 lie on one
+   side: contexts meet only where they share the gram with the 84 bytes before it, or behind it.
 3. Groups of such contexts are sorted by suffix: the linear grouping construction (``suffix_array``) over the group's
-   contexts end to end, then common prefixes of neighbours. A window repeats if a neighbour shares 200 bytes.
-   Groups of more than ``MOST_CONTEXTS`` (a passage that very many documents share) are not put into one task: their
-   windows are counted by a 128-bit hash, which is as exact and can be dealt to any number of tasks.
+   contexts end to end, then neighbours are compared. A window repeats if a neighbour shares 200 bytes.
+   Groups of more than ``MOST_CONTEXTS`` (a passage that very many documents share) are not put into one task: each
+   context is compared with the group's most frequent one around the gram, byte for byte. The windows that differ from
+   it meet again by finer places, ``FINER`` at a time, in groups that share all but 11 of 200 bytes; what is still in
+   a very large group after that meets window by window.
 4. Covered bytes are merged per document, and removed.
 
 Strings are judged on the input; matches never cross documents. Defined cases: null text is the empty text; texts
@@ -19,7 +22,7 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from trestle.llm.hashing import _VALUES, U, mix, powers
 from trestle.llm.shared import cut, text_of
 
-SIZE, GRAM, MOST_CONTEXTS = 200, 32, 100
+SIZE, GRAM, MOST_CONTEXTS, FINER = 200, 32, 100, 12
 _POS_BITS = 28  # a text has less than 2**28 bytes; the hash of a gram keeps 36 bits when grams of a window are compared
 _BASE = 0x9E3779B97F4A7C15
 
@@ -111,30 +114,17 @@ def suffix_array(s: list[int]) -> list[int]:
 
 def repeats(contexts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
     """For each context, the starts of its ``size``-byte strings that start anywhere else in the contexts, too."""
-    s: list[int] = []
-    ends: list[int] = []
-    for c in contexts:
-        s += [b + 2 for b in c]
-        ends += [len(s)] * (len(c) + 1)
-        s.append(1)
-    order = suffix_array(s)
-    n = len(s)
-    rank = [0] * n
-    for k, i in enumerate(order):
-        rank[i] = k
-    hit, h = np.zeros(n, bool), 0
-    for i in range(n):
-        if rank[i] == 0:
-            h = 0
-            continue
-        j = order[rank[i] - 1]
-        top = min(ends[i] - i, ends[j] - j)
-        h = min(h, max(top, 0))
-        while h < top and s[i + h] == s[j + h]:
-            h += 1
-        if h >= size:
+    data = b"\0".join(contexts) + b"\0"
+    ends = np.repeat(np.cumsum([len(c) + 1 for c in contexts]) - 1, [len(c) + 1 for c in contexts])
+    s = np.frombuffer(data, np.uint8).astype(np.int64) + 2
+    s[np.cumsum([len(c) + 1 for c in contexts]) - 1] = 1
+    order = np.array(suffix_array(s.tolist()), np.int64)
+    whole = ends - np.arange(len(s)) >= size
+    hit = np.zeros(len(s), bool)
+    near = np.flatnonzero(whole[order[:-1]] & whole[order[1:]])
+    for i, j in zip(order[near].tolist(), order[near + 1].tolist(), strict=True):
+        if data[i : i + size] == data[j : j + size]:
             hit[i] = hit[j] = True
-        h = max(h - 1, 0)
     out, at = [], 0
     for c in contexts:
         out.append(np.flatnonzero(hit[at : at + len(c)]))
@@ -152,12 +142,12 @@ def _hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mix((total[end] - total[start]) * powers(len(total), pow(_BASE, -1, 2**64))[start] + (end - start).astype(U))
 
 
-def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, context hash, first window, last window) for each anchor of a text."""
+def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
+    """(gram hash, context hash, first window, last window, gram's place in the context) for each anchor of a text."""
     n = len(raw)
     none = np.empty(0, np.int64)
     if n < SIZE:
-        return none.astype(U), none.astype(U), none, none
+        return none.astype(U), none.astype(U), none, none, none
     total = _sums(np.frombuffer(raw, np.uint8))
     at = np.arange(n - GRAM + 1)
     gram = _hashes(total, at, at + GRAM)
@@ -173,10 +163,10 @@ def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     final = np.append(first[1:], m) - 1
     a = least[first]
     context = mix(_hashes(total, first, final + SIZE) + (a - first).astype(U) * U(0xD1342543DE82EF95))
-    return gram[a], context, first, final
+    return gram[a], context, first, final, a - first
 
 
-_ROW = "key long, ctx long, doc_id long, th long, lo int, hi int"
+_ROW = "key long, ctx long, doc_id long, th long, lo int, hi int, mid int"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -191,67 +181,166 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 piece = batch.slice(lo, 1000)
                 found = [anchors(r) for r in piece.column(2).to_pylist()]
                 sizes = np.array([len(f[2]) for f in found], np.int64)
-                cols = [np.concatenate([f[k] for f in found]) for k in range(4)]
+                cols = [np.concatenate([f[k] for f in found]) for k in range(5)]
                 own = np.repeat(np.arange(len(found)), sizes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), piece.column(0).take(pa.array(own)), piece.column(1).take(pa.array(own)),
-                     pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["key", "ctx", "doc_id", "th", "lo", "hi"],
+                     *[pa.array(cols[k].astype(np.int32)) for k in (2, 3, 4)]], names=["key", "ctx", "doc_id", "th", "lo", "hi", "mid"],
                 )
 
     return _texts(docs).mapInArrow(each, _ROW)
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``th``, ``a``, ``b``: runs of windows, first to last start, that repeat; a document may have many."""
-    rows = cut(anchor_rows(docs), "suffix-anchors")
-    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).filter("n > 1")
-    met = rows.join(keys.select(F.col("key").alias("k2"), (F.col("c1") == F.col("c2")).alias("same")).hint("merge"), F.col("key") == F.col("k2"))
-    met = cut(met.select("key", "ctx", "doc_id", "th", "lo", "hi", "same"), "suffix-met")
-    whole = met.filter("same").select("doc_id", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    mixed = met.filter("not same")
-    classes = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi")).alias("r"))
-    classes = cut(classes.select("key", "ctx", "n", "r.*"), "suffix-classes")
-    twice = classes.filter("n > 1").select(F.col("key").alias("k2"), F.col("ctx").alias("x2"))
-    again = mixed.join(twice.hint("merge"), (F.col("key") == F.col("k2")) & (F.col("ctx") == F.col("x2"))).select("doc_id", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    sizes = classes.groupBy("key").agg(F.count("*").alias("size")).select(F.col("key").alias("k2"), "size")
-    sized = classes.join(sizes.hint("merge"), F.col("key") == F.col("k2")).drop("k2")
-    texts = _texts(docs).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "raw")
-    held = sized.join(texts.hint("merge"), (F.col("doc_id") == F.col("d2")) & (F.col("th") == F.col("t2")))
-    held = cut(held.select("key", "size", "n", "doc_id", "th", "lo", F.expr("substring(raw, lo + 1, hi - lo + 200)").alias("context")), "suffix-contexts")
-
-    def sort(table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        out: dict[str, list] = {"doc_id": [], "th": [], "a": [], "b": []}
-        for k, starts in enumerate(repeats(t["context"])):
-            if t["n"][k] == 1 and len(starts):
+def _met(rows: DataFrame, kept: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` that have a partner in ``kept`` (unique by ``on``, with ``n`` rows each), with its other columns.
+
+    Partners of over a thousandth of all rows, a thousand at most, are broadcast: no task gets all rows of a hot one.
+    """
+    few = kept.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in kept.columns if c not in on])
+    hot, rest = few.filter(F.col("n") * 1000 > total).drop("n"), few.filter(F.col("n") * 1000 <= total).drop("n")
+    same = lambda: [F.col(c) == F.col(f"_{c}") for c in on]
+    names = [*rows.columns, *[c for c in kept.columns if c not in (*on, "n")]]
+    cold = rows.join(F.broadcast(hot.select(*[f"_{c}" for c in on])), same(), "left_anti").join(rest.hint("merge"), same())
+    return rows.join(F.broadcast(hot), same()).select(*names).union(cold.select(*names))
+
+
+def _beside_hub(context: bytes, mid: int, hub: bytes, hub_mid: int) -> tuple[int, int]:
+    """First and last window of ``context`` that ``hub`` has at the same distance from the gram (last < first: none)."""
+    left, right = min(mid, hub_mid), min(len(context) - mid, len(hub) - hub_mid)
+    if context[mid : mid + right] != hub[hub_mid : hub_mid + right]:
+        x = np.frombuffer(context, np.uint8, right, mid) != np.frombuffer(hub, np.uint8, right, hub_mid)
+        right = int(x.argmax())
+    if context[mid - left : mid] != hub[hub_mid - left : hub_mid]:
+        x = np.frombuffer(context, np.uint8, left, mid - left) != np.frombuffer(hub, np.uint8, left, hub_mid - left)
+        left = int(x[::-1].argmax())
+    return mid - left, mid + right - SIZE
+
+
+_GROUP = ["key", "side", "half"]
+_SPAN = "doc_id long, th long, a int, b int"
+
+
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of repeated windows; rows come ordered by group (key, side, half), then doc_id, th, at, n, context."""
+    out: list[tuple[int, int, int, int]] = []
+
+    def end(group: list[tuple]) -> None:
+        places: dict[bytes, list[tuple]] = {}
+        for row in group:
+            places.setdefault(row[-1], []).append(row[3:7])
+        found = repeats(list(places)) if len(places) > 1 else [np.empty(0, np.int64)]
+        for (context, rows), starts in zip(places.items(), found, strict=True):
+            if len(rows) > 1:
+                out.extend((doc_id, th, at, at + len(context) - SIZE) for doc_id, th, at, n in rows if n == 1)
+                continue
+            doc_id, th, at, n = rows[0]
+            if n == 1 and len(starts):
                 edge = np.flatnonzero(np.diff(starts) > 1)
-                for a, b in zip(starts[np.append(0, edge + 1)], starts[np.append(edge, len(starts) - 1)], strict=True):
-                    for name, x in zip(out, (t["doc_id"][k], t["th"][k], t["lo"][k] + int(a), t["lo"][k] + int(b)), strict=True):
-                        out[name].append(x)
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "th": pa.array(out["th"], pa.int64()), "a": pa.array(out["a"], pa.int32()), "b": pa.array(out["b"], pa.int32())})
+                for a, b in zip(starts[np.append(0, edge + 1)].tolist(), starts[np.append(edge, len(starts) - 1)].tolist(), strict=True):
+                    out.append((doc_id, th, at + a, at + b))
+
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and group[0][:3] != row[:3]:
+                end(group)
+                group = []
+            group.append(row)
+        yield _span_batch(out)
+        out.clear()
+    if group:
+        end(group)
+    yield _span_batch(out)
+
+
+def _span_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "th", "a", "b"])
+
 
-    def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PART = "key long, n long, doc_id long, th long, side int, at int, mid int, context binary"
+
+
+def _wide_groups(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs shared with the hub, of the context and of the hub (``side`` null, from ``at`` to ``mid``), and the parts of
+    each context whose windows the hub does not have, by their place about the gram, ``width`` places to a part."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 t = batch.slice(lo, 1000).to_pydict()
-                parts = []
-                for k, c in enumerate(t["context"]):
-                    total = _sums(np.frombuffer(c, np.uint8))
-                    at = np.arange(len(c) - SIZE + 1)
-                    h = _hashes(total, at, at + SIZE)
-                    half = _hashes(total, at + 7, at + 101)
-                    parts.append((h, half, np.full(len(at), t["doc_id"][k]), np.full(len(at), t["th"][k]), at + t["lo"][k], np.full(len(at), t["n"][k])))
-                cols = [np.concatenate([p[k] for p in parts]) for k in range(6)] if parts else [np.empty(0, np.int64)] * 6
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c.astype(np.int64) if k > 1 else c.view(np.int64)) for k, c in enumerate(cols)], names=["w1", "w2", "doc_id", "th", "at", "n"]
-                )
-
-    small = held.filter(F.col("size") <= MOST_CONTEXTS).groupBy("key").applyInArrow(sort, "doc_id long, th long, a int, b int")
-    wide = held.filter(F.col("size") > MOST_CONTEXTS).select("doc_id", "th", "lo", "n", "context").mapInArrow(window_hashes, "w1 long, w2 long, doc_id long, th long, at long, n long")
-    met2 = wide.groupBy("w1", "w2").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("w1").alias("x1"), F.col("w2").alias("x2"))
-    single = wide.filter("n = 1").join(met2.hint("merge"), (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")))
-    large = single.select("doc_id", "th", F.col("at").cast("int").alias("a"), F.col("at").cast("int").alias("b"))
-    return whole.union(again).union(small).union(large)
+                out: list[tuple] = []
+                for key, doc_id, th, at, mid, n, c, hub in zip(*(t[k] for k in ("key", "doc_id", "th", "at", "mid", "n", "context", "hub")), strict=True):
+                    if (doc_id, th, at) == (hub["doc_id"], hub["th"], hub["at"]):
+                        continue
+                    a, b = _beside_hub(c, mid, hub["context"], hub["mid"])
+                    last = len(c) - SIZE
+                    left = [(0, last)] if b < a else [(0, a - 1), (b + 1, last)]
+                    if b >= a:
+                        off = hub["at"] + hub["mid"] - mid
+                        if n == 1:
+                            out.append((key, 1, doc_id, th, None, at + a, at + b, None))
+                        if hub["n"] == 1:
+                            out.append((key, 1, hub["doc_id"], hub["th"], None, off + a, off + b, None))
+                    for first, final in left:
+                        while first <= final:
+                            k = (mid - first) // width
+                            end = min(final, mid - k * width)
+                            out.append((key, n, doc_id, th, k, at + first, mid - first, c[first : end + SIZE]))
+                            first = end + 1
+                cols = list(zip(*out, strict=True)) if out else [[]] * 8
+                types = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(cols, types, strict=True)], names=["key", "n", "doc_id", "th", "side", "at", "mid", "context"])
+
+    return each
+
+
+def contexts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Contexts as they meet: by gram, ``side`` (0 before, 1 behind) and the hash of gram and 84 bytes on that side."""
+    side = (SIZE - GRAM) // 2
+    texts = _texts(docs).dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "raw")
+    held = classes.join(texts.hint("merge"), (F.col("doc_id") == F.col("d2")) & (F.col("th") == F.col("t2")))
+    place, cut_at = F.col("lo") + F.col("mid"), F.col("lo") + F.col("mid") - side
+    piece = lambda a, size: F.substring("raw", a + 1, size)
+    # windows that start at or before cut_at hold 84 bytes before the gram, those at or behind it 84 bytes behind the gram
+    to, at = F.least("hi", cut_at), F.greatest("lo", cut_at)
+    before = F.struct(F.lit(0).alias("side"), F.xxhash64(piece(cut_at, F.lit(side + GRAM))).alias("half"), F.col("lo").alias("at"), F.col("mid").alias("mid"), piece(F.col("lo"), to - F.col("lo") + SIZE).alias("context"))
+    behind = F.struct(F.lit(1).alias("side"), F.xxhash64(piece(place, F.lit(side + GRAM))).alias("half"), at.alias("at"), (place - at).alias("mid"), piece(at, F.col("hi") - at + SIZE).alias("context"))
+    parts = F.array_compact(F.array(F.when(F.col("lo") <= cut_at, before), F.when(F.col("hi") >= cut_at, behind)))
+    return held.select("key", "n", "doc_id", "th", F.inline(parts))
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``th``, ``a``, ``b``: runs of windows, first to last start, that repeat; a document may have many."""
+    rows = cut(anchor_rows(docs), "suffix-anchors")
+    total = rows.count()
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("ctx") == F.max("ctx")).alias("same")).filter("n > 1")
+    met = cut(_met(rows, cut(keys, "suffix-keys"), ["key"], total), "suffix-met")
+    whole = met.filter("same").select("doc_id", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    mixed = met.filter("not same").drop("same")
+    classes = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "lo", "hi", "mid")).alias("r"))
+    classes = cut(classes.select("key", "ctx", "n", "r.*"), "suffix-classes")
+    again = _met(mixed, classes.filter("n > 1").select("key", "ctx", "n"), ["key", "ctx"], total).select("doc_id", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    held = cut(contexts(docs, classes), "suffix-contexts")
+    out = whole.union(again)
+    for width in (FINER, 1):
+        # a context found twice is done; a group needs one found once, and a partner for it
+        sizes = held.groupBy(*_GROUP).agg(F.count("*").alias("size"), F.min("n").alias("least")).filter("size > 1 and least = 1").select(*[F.col(c).alias(f"_{c}") for c in _GROUP], "size")
+        sized = held.join(sizes.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in _GROUP]).select(*held.columns, "size")
+        few = sized.filter(F.col("size") <= MOST_CONTEXTS).select(*_GROUP, "doc_id", "th", "at", "n", "context")
+        out = out.union(few.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInArrow(_sorted_groups, _SPAN))
+        wide = sized.filter(F.col("size") > MOST_CONTEXTS).drop("size")
+        hub = wide.groupBy(*_GROUP).agg(F.max(F.struct("n", "doc_id", "th", "at", "mid", "context")).alias("hub")).select(*[F.col(c).alias(f"_{c}") for c in _GROUP], "hub")
+        beside = wide.join(hub.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in _GROUP]).select("key", "doc_id", "th", "at", "mid", "n", "context", "hub")
+        seen = cut(beside.mapInArrow(_wide_groups(width), _PART), "suffix-parts")
+        out = out.union(seen.filter("side is null").select("doc_id", "th", F.col("at").alias("a"), F.col("mid").alias("b")).distinct())
+        # what every window of a part covers: it stays the same wherever in the part a window begins
+        core = F.substring("context", F.col("mid") - F.col("side") * width + 1, F.lit(SIZE - width + 1))
+        held = seen.filter("side is not null").withColumn("half", F.xxhash64(core))
+    twice = held.groupBy(*_GROUP).agg(F.count("*").alias("c")).filter("c > 1").select(*[F.col(c).alias(f"_{c}") for c in _GROUP])
+    single = held.filter("n = 1").join(twice.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in _GROUP]).select("doc_id", "th", F.col("at").alias("a"), F.col("at").alias("b"))
+    return out.union(single)
 
 
 def report(docs: DataFrame) -> DataFrame:
