@@ -48,23 +48,45 @@ def suffix_array(s: list[int]) -> list[int]:
     n = len(s)
     if not n:
         return []
-    members: dict[int, dict[int, None]] = {}
     by_value: dict[int, list[int]] = {}
     for i, v in enumerate(s):
         by_value.setdefault(v, []).append(i)
-    group, below, above, last = [0] * n, {}, {}, None
-    for g, v in enumerate(sorted(by_value)):
-        members[g] = dict.fromkeys(by_value[v])
-        below[g], above[g] = last, None
-        if last is not None:
-            above[last] = g
-        last = g
-        for i in by_value[v]:
-            group[i] = g
-    fresh, taken, prev, g = len(members), [False] * n, [-1] * n, last
-    bottom = 0
-    while g is not None:
-        own = sorted(members[g])
+    values = sorted(by_value)
+    # a group's list may name suffixes that have left it since; ``size`` counts those that are in it
+    members, size = [by_value[v] for v in values], [len(by_value[v]) for v in values]
+    rank = {v: g for g, v in enumerate(values)}
+    group = [rank[v] for v in s]
+    below, above = list(range(-1, len(values) - 1)), [*range(1, len(values)), -1]
+    taken, prev, g = [False] * n, [-1] * n, len(values) - 1
+
+    def leave(old: int, js: list[int]) -> None:
+        fresh, up = len(size), above[old]
+        members.append(js)
+        size.append(len(js))
+        size[old] -= len(js)
+        below.append(old)
+        above.append(up)
+        above[old] = fresh
+        if up >= 0:
+            below[up] = fresh
+        for j in js:
+            group[j] = fresh
+
+    while g >= 0:
+        own = [i for i in members[g] if group[i] == g]
+        members[g] = own
+        if len(own) == 1:
+            i = own[0]
+            taken[i] = True
+            j = i - 1
+            while j >= 0 and taken[j]:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0 and size[group[j]] > 1:
+                leave(group[j], [j])
+            g = below[g]
+            continue
+        own.sort()
         for i in own:
             taken[i] = True
         times: dict[int, int] = {}
@@ -75,27 +97,17 @@ def suffix_array(s: list[int]) -> list[int]:
             prev[i] = j
             if j >= 0:
                 times[j] = times.get(j, 0) + 1
-        by_times: dict[int, dict[int, list[int]]] = {}
+        by_times: dict[tuple[int, int], list[int]] = {}
         for j, t in times.items():
-            by_times.setdefault(t, {}).setdefault(group[j], []).append(j)
-        for t in sorted(by_times, reverse=True):
-            for old, js in by_times[t].items():
-                if len(js) == len(members[old]):
-                    continue  # all of the group would move right above its own place
-                members[fresh] = dict.fromkeys(js)
-                for j in js:
-                    del members[old][j]
-                    group[j] = fresh
-                up = above[old]
-                below[fresh], above[fresh], above[old] = old, up, fresh
-                if up is not None:
-                    below[up] = fresh
-                fresh += 1
+            by_times.setdefault((t, group[j]), []).append(j)
+        for (_, old), js in sorted(by_times.items(), reverse=True) if len(by_times) > 1 else by_times.items():
+            if len(js) < size[old]:  # else all of the group would move right above its own place
+                leave(old, js)
         g = below[g]
-    start, at, g = {}, 0, bottom
-    while g is not None:
+    start, at, g = [0] * len(size), 0, 0
+    while g >= 0:
         start[g] = at
-        at += len(members[g])
+        at += size[g]
         g = above[g]
     out, placed = [-1] * n, [False] * n
 
