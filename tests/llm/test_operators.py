@@ -136,6 +136,35 @@ def test_suffix_dedup_equals_brute_force(docs, rows, none, monkeypatch, most):
         assert suffix_dedup.report(none).count() == 0
 
 
+def _gone(raws):
+    """Brute force: doc, bytes, bytes removed of every string of 200 bytes that starts twice."""
+    seen, want = Counter(b[k : k + 200] for _, b in raws for k in range(len(b) - 199)), []
+    for i, b in raws:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want.append((i, len(b), int(gone.sum())))
+    return sorted(want)
+
+
+def test_suffix_dedup_keeps_single_windows_of_frequent_halves(spark, monkeypatch):
+    """Every half is in more texts than a group holds, every combination of halves in one text only."""
+    monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", 2)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    pool = word(60_000)
+    at = np.arange(len(pool) - 31)
+    gram = suffix_dedup._hashes(suffix_dedup._sums(np.frombuffer(pool.encode(), np.uint8)), at, at + 32)
+    least = pool[int(gram.argmin()) :][:32]
+    left, right = [word(100) for _ in range(5)], [word(100) for _ in range(5)]
+    texts = [a + least + b for a in left for b in right]
+    texts.append(word(40) + texts[3] + word(40))
+    raws = [(i, t.encode()) for i, t in enumerate(texts)]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.report(made).collect()) == _gone(raws)
+
+
 def test_fingerprints_follow_the_next_document(docs, rows, none):
     order = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
     got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprints(docs).collect())

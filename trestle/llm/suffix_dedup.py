@@ -315,11 +315,12 @@ def contexts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     held = classes.join(texts.hint("merge"), (F.col("doc_id") == F.col("d2")) & (F.col("th") == F.col("t2")))
     place, cut_at = F.col("lo") + F.col("mid"), F.col("lo") + F.col("mid") - side
     piece = lambda a, size: F.substring("raw", a + 1, size)
-    # windows that start at or before cut_at hold 84 bytes before the gram, those at or behind it 84 bytes behind the gram
-    to, at = F.least("hi", cut_at), F.greatest("lo", cut_at)
+    # windows that start at or before cut_at hold 84 bytes before the gram, all others 84 bytes behind it; a window in
+    # both parts would meet itself in the finer parts of large groups
+    to, at = F.least("hi", cut_at), F.greatest("lo", cut_at + 1)
     before = F.struct(F.lit(0).alias("side"), F.xxhash64(piece(cut_at, F.lit(side + GRAM))).alias("half"), F.col("lo").alias("at"), F.col("mid").alias("mid"), piece(F.col("lo"), to - F.col("lo") + SIZE).alias("context"))
     behind = F.struct(F.lit(1).alias("side"), F.xxhash64(piece(place, F.lit(side + GRAM))).alias("half"), at.alias("at"), (place - at).alias("mid"), piece(at, F.col("hi") - at + SIZE).alias("context"))
-    parts = F.array_compact(F.array(F.when(F.col("lo") <= cut_at, before), F.when(F.col("hi") >= cut_at, behind)))
+    parts = F.array_compact(F.array(F.when(F.col("lo") <= cut_at, before), F.when(F.col("hi") > cut_at, behind)))
     return held.select("key", "n", "doc_id", "th", F.inline(parts))
 
 
