@@ -110,6 +110,56 @@ def test_line_dedup_keeps_first_of_near_equal_lines(spark, docs, none):
     assert line_dedup.line_report(none).count() == 0
 
 
+def _line_brute(texts):
+    """Numbers of the lines to remove by document: components of all pairs of lines that reach 0.8, without signatures."""
+    first = {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate(t.split("\n")):
+            first.setdefault(line, []).append((i, k))
+    names = list(first)
+    sets = [{x[j : j + 8] for j in range(max(1, len(x) - 7))} for x in names]
+    parent = list(range(len(names)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(names)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 9 * both >= 4 * (len(sets[a]) + len(sets[b])):
+                parent[root(a)] = root(b)
+    places = {}
+    for a, x in enumerate(names):
+        places.setdefault(root(a), []).extend(first[x])
+    gone = {p for group in places.values() for p in group if p != min(group)}
+    return {i: [k for k in range(t.count("\n") + 1) if (i, k) in gone] for i, t in enumerate(texts)}
+
+
+def _family(rng, size):
+    """A frequent line, and pairs of lines at 0.88 to each other and about 0.7 to it."""
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n - 2)).join("xy")
+    hub, out = word(200), []
+    for _ in range(size):
+        at = rng.randint(1, 80)
+        one = hub[:at] + word(28) + hub[at + 28 :]
+        out += [one, one[:150] + word(5) + one[155:]]
+    return hub, out
+
+
+def _removed(spark, texts):
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id: list(r.removed_lines) for r in line_dedup.line_report(made).collect()}
+
+
+def test_line_dedup_finds_unbroken_lines(spark):
+    rng = random.Random(12)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(200)) for _ in range(20)]
+    texts = [*keys, *[k[:3] + "z" + k[4:] for k in keys]]
+    assert _removed(spark, texts) == _line_brute(texts) == {i: [0] * (i >= 20) for i in range(40)}
+
+
 def test_suffix_array_and_repeats():
     rng = random.Random(2)
     for _ in range(800):
