@@ -153,6 +153,17 @@ def _removed(spark, texts):
     return {r.doc_id: list(r.removed_lines) for r in line_dedup.line_report(made).collect()}
 
 
+@pytest.mark.parametrize("tile", [256, 8])
+def test_line_dedup_links_lines_that_the_hub_does_not_take(spark, monkeypatch, tile):
+    monkeypatch.setattr(line_dedup, "TILE", tile, raising=False)
+    rng = random.Random(11)
+    hub, out = _family(rng, 60)
+    rng.shuffle(out)
+    texts = ["\n".join([hub, *out[k : k + 6]]) for k in range(0, len(out), 6)]
+    want = _line_brute(texts)
+    assert _removed(spark, texts) == want and sum(map(len, want.values())) >= 60
+
+
 def test_line_dedup_finds_unbroken_lines(spark):
     rng = random.Random(12)
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(200)) for _ in range(20)]
