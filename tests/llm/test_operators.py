@@ -164,6 +164,12 @@ def test_line_dedup_links_lines_that_the_hub_does_not_take(spark, monkeypatch, t
     assert _removed(spark, texts) == want and sum(map(len, want.values())) >= 60
 
 
+def test_line_dedup_second_hub_is_outside_of_the_first_component(spark):
+    """Of a bucket's components the second star takes its line from another one than the first star did."""
+    rows = spark.createDataFrame([(1, 10, 9, 10, 4), (1, 11, 5, 10, 4), (1, 12, 3, 12, 4), (1, 13, 1, 13, 4)], "key long, h1 long, n long, label long, size long")
+    assert sorted(tuple(r) for r in line_dedup._second_stars(rows).collect()) == [(12, 10), (12, 11), (12, 13)]
+
+
 def test_line_dedup_finds_unbroken_lines(spark):
     rng = random.Random(12)
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(200)) for _ in range(20)]
