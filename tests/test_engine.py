@@ -100,10 +100,10 @@ def test_pairing_and_split(spark):
     assert [(r.train_file, r.label_file) for r in pairs.collect()] == [(names[0], names[2])]
     assert unmatched.first().reason == "missing_or_ambiguous_label" and unused.first().label_file == names[3]
     rows = spark.createDataFrame([(f"r/{x}.docx", f"l/{x}.docx") for x in ("甲长江大桥", "甲大桥", "乙桥", "丙桥")], "train_file string, label_file string")
-    split, groups = pairing.group_split(rows)
+    split, groups = pairing.group_split(rows, "s")
     by = {r.train_file: (r.bridge_group, r.split) for r in split.collect()}
     assert by["r/甲长江大桥.docx"] == by["r/甲大桥.docx"] and groups.count() == 3
-    again = {r.train_file: (r.bridge_group, r.split) for r in pairing.group_split(rows.orderBy(F.desc("train_file")))[0].collect()}
+    again = {r.train_file: (r.bridge_group, r.split) for r in pairing.group_split(rows.orderBy(F.desc("train_file")), "s")[0].collect()}
     assert again == by
 
 

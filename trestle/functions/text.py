@@ -148,7 +148,9 @@ def result_name(path: Column) -> Column:
 
 
 def utc_now() -> Column:
-    return F.date_format(F.date_trunc("second", F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    """The time in UTC to the second, whatever the session's zone."""
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.concat(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
 
 
 def report_id(content: Column) -> Column:
@@ -177,18 +179,51 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in v])
+
+
 def nfkc(column: Column) -> Column:
-    """NFKC; ASCII texts never leave the JVM."""
-    return F.when(column.isNull() | column.rlike(r"^[\x00-\x7F]*$"), column).otherwise(_nfkc(column))
+    """NFKC; ASCII texts never leave the JVM: Python is handed a null for them."""
+    plain = column.rlike(r"^[\x00-\x7F]*$")
+    return F.when(column.isNull() | plain, column).otherwise(_nfkc(F.when(~plain, column)))
+
+
+def nfkc_each(column: Column) -> Column:
+    """NFKC of each string of a list; lists of ASCII texts never leave the JVM."""
+    plain = F.forall(column, lambda x: F.coalesce(x, F.lit("")).rlike(r"^[\x00-\x7F]*$"))
+    return F.when(column.isNull() | plain, column).otherwise(_nfkc_each(F.when(~plain, column)))
+
+
+def as_text(column: Column, kind: T.DataType) -> Column:
+    """A label or predicted value as one text: lists joined, truth values as words, null as ''."""
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.array_join(F.transform(column, lambda x: as_text(x, kind.elementType)), "；"), F.lit(""))
+    if isinstance(kind, T.BooleanType):
+        return F.when(column.isNull(), "").when(column, "是").otherwise("否")
+    return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def comparable(column: Column) -> Column:
-    """For equality of label values: NFKC, all white space gone, null is ''."""
-    return F.regexp_replace(nfkc(F.coalesce(column, F.lit(""))), f"{WS}+", "")
+def comparable(column: Column, kind: T.DataType | None = None) -> Column:
+    """For equality of label values (strings, or of the given type): NFKC, all white space gone, null is ''."""
+    return F.regexp_replace(nfkc(as_text(column, kind or T.StringType())), f"{WS}+", "")
+
+
+def comparable_each(column: Column) -> Column:
+    """:func:`comparable` of each string of a list; a null list is empty."""
+    filled = F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")))
+    return F.transform(nfkc_each(filled), lambda x: F.regexp_replace(x, f"{WS}+", ""))
+
+
+def comparable_literal(text: str) -> str:
+    """:func:`comparable` of a constant."""
+    return "".join(unicodedata.normalize("NFKC", text).split())
 
 
 # --- names of report files -------------------------------------------------------------------------------------------
 
+# What the naming format of report files prescribes.
 _STEM_STEPS = [
     (r"(?:[- ·_]*(?:含有|含|有|无)对比年度).*", ""),
     (r"[- ·_]*信息提[提]?取(?:报告)?.*", ""),
@@ -209,20 +244,28 @@ def normalized_stem(path: Column) -> Column:
 
 
 def report_code(path: Column) -> Column:
-    return F.regexp_extract(file_stem(path), r"^([0-9]{6}-[0-9]{3}|[0-9]{2}-[0-9]{3}|[0-9]{1,3})(?=[-\u4e00-\u9fff])", 1)
+    """The number that a name begins with; read from the normalised stem, so that wide digits and blanks don't hide it."""
+    return F.regexp_extract(normalized_stem(path), r"^([0-9]{6}-[0-9]{3}|[0-9]{2}-[0-9]{3}|[0-9]{1,3})(?=[-\u4e00-\u9fff])", 1)
 
 
 def bridge_key(path: Column) -> Column:
+    """The bridge's name in a file name: without its number, a leading year, and marks of the edition."""
     stem, code = normalized_stem(path), report_code(path)
-    bare = F.when(F.startswith(stem, code), F.substr(stem, F.length(code) + 1)).otherwise(stem)
-    dashed = F.regexp_replace(bare, "^-+|-+$", "")
-    return F.regexp_replace(chained(dashed, ("^20[0-9]{2}年", ""), ("[0-9]{8}修改后最后定稿|全|报告", "")), "^-+|-+$", "")
+    bare = F.when(code != "", F.ltrim(F.substr(stem, F.length(code) + 1), F.lit("-"))).otherwise(stem)
+    return F.btrim(chained(bare, ("^20[0-9]{2}年", ""), ("[0-9]{8}修改后最后定稿|全|报告", "")), F.lit("-"))
 
 
 def bridge_aliases(path: Column) -> Column:
-    """Sorted names by which a report's bridge may be known; chainage tells unnamed bridges and footbridges apart."""
-    key = bridge_key(path)
-    named = key.rlike("[\u4e00-\u9fff]") & ~key.rlike("无名|人行天桥")
-    base = F.when(named, F.regexp_replace(F.regexp_replace(key, r"k[0-9]+\+[0-9]+(?:\.[0-9]+)?", ""), "^-+|-+$", "")).otherwise(key)
-    short = F.when(named, F.regexp_replace(base, "长江|公路|立交", "")).otherwise(base)
-    return F.array_sort(F.array_distinct(F.filter(F.array(base, short), lambda x: x != "")))
+    """Sorted names by which a report's bridge may be known; chainage tells unnamed bridges and footbridges apart.
+
+    A named bridge goes by its name without chainage (by the whole key, if nothing else is left), and by that name
+    without the words that some reports leave out.
+    """
+
+    def names(key: Column) -> Column:
+        named = key.rlike("[\u4e00-\u9fff]") & ~key.rlike("无名|人行天桥")
+        plain = F.regexp_replace(key, r"k[0-9]+\+[0-9]+(?:\.[0-9]+)?", "")
+        both = bound(F.when(plain == "", key).otherwise(plain), lambda b: F.array(b, F.regexp_replace(b, "长江|公路|立交", "")))
+        return F.when(named, both).otherwise(F.array(key))
+
+    return F.array_sort(F.array_distinct(F.filter(bound(bridge_key(path), names), lambda x: x != "")))

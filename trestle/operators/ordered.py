@@ -115,4 +115,4 @@ def disease_rows(blocks: DataFrame) -> DataFrame:
 def recommendation_rows(blocks: DataFrame) -> DataFrame:
     c = F.col("c")
     rows = table_headers(blocks).filter("table_kind = 'recommendation'").filter((F.size(c) >= 3) & ~F.get(c, 0).isin("序号", ""))
-    return first_of(rows.withColumn("content", F.get(c, 2)), ["report_id", "content"], ["table_index", "row_index"]).select("report_id", "source_id", "content")
+    return first_of(rows.withColumn("content", F.get(c, 2)), ["report_id", "content"], ["table_index", "row_index"]).select("report_id", "source_id", "table_index", "row_index", "content")

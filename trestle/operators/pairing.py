@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import difflib
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trestle.functions.text import bridge_aliases, matches_split, normalized_stem, report_code, year_of
+from trestle.functions.text import bridge_aliases, bridge_key, matches_split, normalized_stem, report_code, year_of
 
-FUZZY, FRACTION, SEED = 0.85, 0.2, "city-inspection-v1"
+FUZZY, FRACTION = 0.85, 0.2
+#: Places that one task may sort.
+MOST_SORTED = 100_000
+# How a pair was found.
+BY_NAME, BY_CODE = "normalized_name", "unique_year_code_and_name"
 
 
 @F.pandas_udf(T.DoubleType())
@@ -29,7 +32,7 @@ def inventory(names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _keyed(files: DataFrame, name: str) -> DataFrame:
     p = F.col("path")
-    return files.select(p.alias(name), year_of(p).alias("year"), normalized_stem(p).alias("stem"), report_code(p).alias("code"))
+    return files.select(p.alias(name), year_of(p).alias("year"), normalized_stem(p).alias("stem"), report_code(p).alias("code"), bridge_key(p).alias("bridge"))
 
 
 def unique_match(left: DataFrame, right: DataFrame, key: str, keys: list[str]) -> DataFrame:
@@ -41,10 +44,10 @@ def pair_files(originals: DataFrame, labels: DataFrame) -> tuple[DataFrame, Data
     """``pairs``, ``unmatched`` and ``unused`` labels. A name must fit one label only; only without any fit may code and
     a near-equal name decide; a label that several originals choose pairs with none."""
     a, b = _keyed(originals, "train_file"), _keyed(labels, "label_file")
-    by_name = unique_match(a.drop("code"), b.drop("code"), "train_file", ["year", "stem"]).withColumns({"match_method": F.lit("name"), "name_similarity": F.lit(1.0)})
+    by_name = unique_match(a.drop("code", "bridge"), b.drop("code", "bridge"), "train_file", ["year", "stem"]).withColumns({"match_method": F.lit(BY_NAME), "name_similarity": F.lit(1.0)})
     rest = a.join(by_name.select("train_file").distinct(), "train_file", "left_anti").filter("code <> ''")
-    by_code = unique_match(rest, b.withColumnRenamed("stem", "stem2"), "train_file", ["year", "code"]).filter("n = 1")
-    fuzzy = by_code.withColumn("name_similarity", sequence_ratio("stem", "stem2")).filter(F.col("name_similarity") >= FUZZY).withColumn("match_method", F.lit("code"))
+    by_code = unique_match(rest, b.drop("stem").withColumnRenamed("bridge", "bridge2"), "train_file", ["year", "code"]).filter("n = 1")
+    fuzzy = by_code.withColumn("name_similarity", sequence_ratio("bridge", "bridge2")).filter(F.col("name_similarity") >= FUZZY).withColumn("match_method", F.lit(BY_CODE)).withColumn("name_similarity", F.round("name_similarity", 6))
     cols = ["train_file", "label_file", "year", "match_method", "name_similarity"]
     chosen = by_name.filter("n = 1").select(*cols).unionByName(fuzzy.select(*cols))
     marked = chosen.withColumn("m", F.count("*").over(Window.partitionBy("label_file")))
@@ -54,49 +57,94 @@ def pair_files(originals: DataFrame, labels: DataFrame) -> tuple[DataFrame, Data
     return pairs, many.unionByName(none), b.select("label_file").join(pairs.select("label_file"), "label_file", "left_anti")
 
 
-def alias_components(nodes: DataFrame, node: str, aliases: str, most_rounds: int = 50) -> DataFrame:
-    """``node`` -> ``component``: nodes that share an alias, directly or through others. Least label on both sides of the
-    node-alias graph, until nothing changes; each round is checkpointed."""
-    sc = nodes.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trestle-"))
-    edges = nodes.select(F.col(node).alias("node"), F.explode(aliases).alias("alias")).distinct().checkpoint()
-    label = nodes.select(F.col(node).alias("node"), F.col(node).alias("label")).distinct()
+def alias_components(nodes: DataFrame, node: str, aliases: str, most_rounds: int = 60) -> DataFrame:
+    """``node`` -> ``component``: the least node among those that share an alias, directly or through others.
+
+    Each alias ties its nodes to its least one: as many edges as names, also for an alias that all share. Then large-star
+    and small-star in turn, rounds that grow with the logarithm of the longest chain; each round is checkpointed.
+    """
+    names = nodes.select(F.col(node).alias("v"), F.explode(aliases).alias("alias")).distinct()
+    least = names.groupBy("alias").agg(F.min("v").alias("u")).select(F.col("alias").alias("a2"), "u")
+    edges = names.join(least, F.col("alias") == F.col("a2")).filter("u <> v").select("u", "v").distinct()
+    edges, mark = checkpointed(edges), None
     for _ in range(most_rounds):
-        by_alias = edges.join(label, "node").groupBy("alias").agg(F.min("label").alias("low"))
-        least = edges.join(by_alias, "alias").groupBy("node").agg(F.min("low").alias("low"))
-        after = label.join(least, "node", "left").select("node", F.least("label", F.coalesce("low", "label")).alias("after"), "label").checkpoint()
-        changed = after.filter("after <> label").limit(1).count()
-        label = after.select("node", F.col("after").alias("label"))
-        if not changed:
-            return label.select(F.col("node").alias(node), F.col("label").alias("component"))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        up = _to_least(both).filter("v > u").select(F.col("low").alias("u"), "v").filter("u <> v").distinct()
+        down = up.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        star = _to_least(down)
+        edges = checkpointed(star.select(F.col("low").alias("u"), "v").union(star.select(F.col("low").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct())
+        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            found = edges.select(F.col("v").alias("n2"), F.col("u").alias("component"))
+            every = nodes.select(node).distinct().join(found, F.col(node) == F.col("n2"), "left")
+            return every.select(node, F.coalesce("component", node).alias("component"))
+        mark = seen
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def holdout(groups: DataFrame, identity: Column, seed: str = SEED, fraction: float = FRACTION) -> DataFrame:
-    """Groups with ``rank`` (sha256 of seed and identity) and ``split``: the first share is validation, half to even."""
+def _to_least(edges: DataFrame) -> DataFrame:
+    """Edges with ``low``, the least of u and its neighbours: a pre-aggregated minimum joined back."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("low"))
+    return edges.join(low, F.col("u") == F.col("w")).select("u", "v", "low")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage cut in the folder that all executors share; it has to be set on a cluster, and has no local stand-in."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
+    return df.checkpoint()
+
+
+def holdout(groups: DataFrame, identity: Column, seed: str, fraction: float = FRACTION) -> DataFrame:
+    """Groups with ``rank`` (sha256 of seed and identity) and ``split``: the first share by rank is validation, half to
+    even. Groups are counted once; the cut is the last of a top-n by rank, so that no task holds or sorts all groups."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must be between 0 and 1")
     ranked = groups.withColumn("identity", identity).withColumn("rank", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("identity")), 256))
-    # one row per group: names only, never their files
-    order = Window.orderBy("rank", "identity")
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    take = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(fraction)).cast("long")))
-    out = ranked.withColumns({"place": F.row_number().over(order), "take_": take})
-    return out.withColumn("split", F.when(F.col("place") <= F.col("take_"), "validation").otherwise("train")).drop("take_")
-
-
-def group_split(pairs: DataFrame, seed: str = SEED, fraction: float = FRACTION) -> tuple[DataFrame, DataFrame]:
-    """Pairs with their bridge group and split, and the groups: one bridge never stands on both sides."""
-    named = pairs.withColumn("aliases_", F.array_distinct(F.concat(bridge_aliases(F.col("train_file")), bridge_aliases(F.col("label_file")))))
+    n = ranked.count()
+    take = max(1, min(n - 1, round(n * fraction)))
+    place = F.struct("rank", "identity")
+    cut = _nth(ranked.select(place.alias("p")), take)
+    return ranked.withColumn("split", F.when(place <= F.struct(F.lit(cut[0]).alias("rank"), F.lit(cut[1]).alias("identity")), "validation").otherwise("train"))
+
+
+def _nth(places: DataFrame, n: int) -> tuple:
+    """The n-th least place: narrowed down by the first digits of its hash, until few are left to sort."""
+    prefix = ""
+    while True:
+        size = len(prefix) + 3
+        inside = places.filter(F.startswith(F.col("p.rank"), F.lit(prefix)))
+        if size > 60 or inside.limit(MOST_SORTED + 1).count() <= MOST_SORTED:
+            return tuple(inside.orderBy("p").limit(n).agg(F.max("p").alias("p")).first()["p"]) if n else ("", "")
+        for row in inside.groupBy(F.substring("p.rank", 1, size).alias("k")).count().orderBy("k").collect():
+            if n <= row["count"]:
+                prefix = row["k"]
+                break
+            n -= row["count"]
+
+
+def group_split(pairs: DataFrame, seed: str, fraction: float = FRACTION, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs with their bridge group and split, and the groups: one bridge never stands on both sides.
+
+    ``names`` (label_file, name): bridge names out of the labels, further aliases.
+    """
+    found = [bridge_aliases(F.col("train_file")), bridge_aliases(F.col("label_file"))]
+    known = pairs
+    if names is not None:
+        told = names.filter("name <> ''").groupBy("label_file").agg(F.min("name").alias("told_")).withColumnRenamed("label_file", "l2_")
+        known = pairs.join(told, F.col("label_file") == F.col("l2_"), "left").drop("l2_")
+        found.append(bridge_aliases(F.coalesce("told_", F.lit(""))))
+    named = known.withColumn("aliases_", F.array_distinct(F.concat(*found))).drop("told_")
     if named.filter(F.size("aliases_") == 0).limit(1).count():
         raise ValueError("a report has no bridge identity")
-    comp = alias_components(named, "train_file", "aliases_")
-    held = named.join(comp, "train_file")
+    comp = alias_components(named, "train_file", "aliases_").withColumnRenamed("train_file", "t2_")
+    held = named.join(comp, F.col("train_file") == F.col("t2_")).drop("t2_")
     groups = held.groupBy("component").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases_")))).alias("aliases"), F.count("*").alias("reports"))
     if groups.limit(2).count() < 2:
         raise ValueError("a split needs two groups at least")
     identity = F.substring(F.sha2(F.array_join("aliases", "|"), 256), 1, 16)
     split = holdout(groups, identity, seed, fraction).withColumnRenamed("identity", "bridge_group")
     out = held.drop("aliases_").join(split.select("component", "bridge_group", "split"), "component").drop("component")
-    return out, split.select("bridge_group", "aliases", "split", "reports", "place")
+    return out, split.select("bridge_group", "aliases", "split", "reports", "rank")

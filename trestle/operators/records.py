@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +35,10 @@ def joined_text(blocks: DataFrame, keys: list[str], where: Column | None = None,
 
 
 def metadata_hints(blocks: DataFrame, first: int = 80) -> DataFrame:
-    """Date, report number and score hints from a report's first blocks; the date's parts are not padded."""
-    head = blocks.filter(F.col("block_pos") < first).groupBy("report_id").agg(joined_text(blocks, ["report_id"]))
+    """Date, report number and score hints from a report's first blocks that aren't empty; the date's parts are not padded."""
+    some = blocks.filter(F.length("text") > 0)
+    ranked = some.withColumn("nth_", F.row_number().over(Window.partitionBy("report_id").orderBy("block_pos")))
+    head = ranked.filter(F.col("nth_") <= first).groupBy("report_id").agg(joined_text(blocks, ["report_id"]))
     t = F.col("full_text")
     year = F.regexp_extract(t, DATE_HINT, 1)
     date = F.when(year != "", F.concat_ws("-", year, F.regexp_extract(t, DATE_HINT, 2), F.regexp_extract(t, DATE_HINT, 3)))
@@ -55,7 +59,7 @@ def source_facts(blocks: DataFrame) -> DataFrame:
     named = [clean(found(F.col("para"), p)) for p in NAMES]
     date = found(F.col("para"), rf"(?:检测日期|检验日期|报告日期){WS}*[:：]{WS}*([^\n|]+)")
     scores = F.map_filter(
-        F.map_from_entries(F.array(*[F.struct(F.lit(k), F.expr("cast(null as double)") if False else F.regexp_extract("full_text", rf"{v}{WS}*{NUMBER}", 1).try_cast("double")) for k, v in COMPONENTS.items()])),
+        F.map_from_entries(F.array(*[F.struct(F.lit(k), F.regexp_extract("full_text", rf"{v}{WS}*{NUMBER}", 1).try_cast("double")) for k, v in COMPONENTS.items()])),
         lambda k, v: v.isNotNull(),
     )
     return texts.select(
@@ -75,8 +79,12 @@ def conclusion(blocks: DataFrame) -> DataFrame:
 
 
 def merged(*maps: Column) -> Column:
-    """Right-most map wins by key, also with an explicit null (needs spark.sql.mapKeyDedupPolicy=LAST_WIN)."""
-    return F.map_concat(*maps)
+    """Right-most map wins by key, also with an explicit null, under any policy for repeated keys."""
+
+    def over(first: Column, later: Column) -> Column:
+        return F.map_concat(F.map_filter(first, lambda k, v: ~F.array_contains(F.map_keys(later), k)), later)
+
+    return reduce(over, maps)
 
 
 def key_wins(sources: list[tuple[Column, Column]]) -> Column:
@@ -107,7 +115,7 @@ def schema_error(payload: Column, strings: list[str], lists: list[str], others:
 def lenient_number(payload: Column, key: str, kind: str) -> Column:
     """A number where the value can be read as one, else null; booleans count 0 and 1, fractions are cut for int."""
     raw = F.get_json_object(payload, f"$.{key}")
-    value = F.when(raw == "true", F.lit(1.0)).when(raw == "false", F.lit(0.0)).otherwise(F.expr("null").cast("double") if raw is None else strip(raw).try_cast("double"))
+    value = F.when(raw == "true", F.lit(1.0)).when(raw == "false", F.lit(0.0)).otherwise(strip(raw).try_cast("double"))
     return value if kind == "double" else F.when(~F.isnan(value), F.when(value >= 0, F.floor(value)).otherwise(F.ceil(value))).cast("int")
 
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +15,14 @@ from trestle.functions.text import GRAM_SIZES, compact, ngrams
 
 #: Scores are whole numbers: parts of SCALE per gram, so that sums don't depend on their order.
 SCALE = 1_000_000_000_000
-#: Query grams up to this number are broadcast; beyond, the join is left to the planner.
-MOST_BROADCAST = 200_000
-#: Up to this number they are looked for in the text itself.
-MOST_LITERAL = 400
+#: Grams of the queries that are looked for in one pass over the blocks, and cells of the table of queries by grams.
+MOST_GRAMS, MOST_CELLS = 100_000, 1 << 24
+#: Passes; more queries than that are joined with the postings instead.
+MOST_PASSES = 20
+#: Characters of blocks that are looked at together.
+PIECE = 1 << 20
 QUOTE = 1200
+TOKEN = re.compile(r"[a-z0-9_+.-]{2,}")
 
 
 def postings(blocks: DataFrame) -> DataFrame:
@@ -21,18 +30,119 @@ def postings(blocks: DataFrame) -> DataFrame:
     return blocks.select("report_id", "block_pos", F.explode(ngrams(F.col("text"))).alias("gram"))
 
 
-def matching(blocks: DataFrame, grams: list[str]) -> DataFrame:
-    """The postings of a few given grams without making the others: up to 4 characters, a block has a gram if its
-    compact text contains it; a longer one has to be one of its tokens."""
-    if not grams:
-        return postings(blocks).limit(0)
-    short, long = [g for g in grams if len(g) <= max(GRAM_SIZES)], [g for g in grams if len(g) > max(GRAM_SIZES)]
-    literal = lambda gs: F.array(*[F.lit(g) for g in gs]) if gs else F.array().cast("array<string>")
-    c = F.col("compact_")
-    tokens = F.array_intersect(literal(long), F.regexp_extract_all(c, F.lit(r"([a-z0-9_+.-]{2,})"), F.lit(1))) if long else literal([])
-    found = F.concat(F.filter(literal(short), lambda g: F.contains(c, g)), tokens)
-    rows = blocks.select("report_id", "block_pos", compact(F.col("text")).alias("compact_"))
-    return rows.select("report_id", "block_pos", F.explode(found).alias("gram"))
+class GramTable:
+    """Where given grams occur in many texts at once, exactly: characters are numbered by their place in the grams'
+    alphabet (16 bits each), so that up to four make one whole number; longer grams are tokens, told by their text."""
+
+    def __init__(self, grams: list[str]):
+        self.size = len(grams)
+        letters = sorted({ord(c) for g in grams for c in g})
+        if len(letters) >= 1 << 16:
+            raise ValueError("too many different characters for one pass")
+        self.letters = np.array(letters, np.uint32)
+        self.keys, self.ids, self.tokens = {}, {}, {}
+        for n in GRAM_SIZES:
+            own = [(k, g) for k, g in enumerate(grams) if len(g) == n]
+            key = self._keys(self._numbers("".join(g for _, g in own)).reshape(-1, n).T) if own else np.empty(0, np.uint64)
+            order = np.argsort(key)
+            self.keys[n], self.ids[n] = key[order], np.array([k for k, _ in own], np.int64)[order]
+        for k, g in enumerate(grams):
+            if len(g) > max(GRAM_SIZES):
+                self.tokens[g] = k
+        self.lengths = np.array(sorted({len(g) for g in self.tokens}), np.int64)
+
+    def _numbers(self, text: str) -> np.ndarray:
+        """Places in the alphabet, from 1; 0 for any other character."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.searchsorted(self.letters, points)
+        at[at == len(self.letters)] = 0
+        return np.where(self.letters[at] == points, at + 1, 0).astype(np.uint64) if len(self.letters) else np.zeros(len(points), np.uint64)
+
+    @staticmethod
+    def _keys(columns) -> np.ndarray:
+        out = columns[0].copy()
+        for c in columns[1:]:
+            out = (out << np.uint64(16)) | c
+        return out
+
+    def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, gram) of every gram that a text has, ascending, each once."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        owner, numbers = np.repeat(np.arange(len(texts)), sizes), self._numbers("".join(texts))
+        pairs = [np.empty(0, np.int64)]
+        for n, keys in self.keys.items():
+            m = len(numbers) - n + 1
+            if m <= 0 or not len(keys):
+                continue
+            columns = [numbers[i : i + m] for i in range(n)]
+            start = np.flatnonzero((owner[:m] == owner[n - 1 :]) & np.logical_and.reduce([c > 0 for c in columns]))
+            key = self._keys([c[start] for c in columns])
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            hit = keys[at] == key
+            pairs.append(owner[start[hit]] * self.size + self.ids[n][at[hit]])
+        if self.tokens:
+            whole = [(i, self.tokens[x]) for i, t in enumerate(texts) if len(t) >= self.lengths[0] for x in TOKEN.findall(t) if x in self.tokens]
+            pairs.append(np.array([i * self.size + k for i, k in whole], np.int64))
+        both = np.unique(np.concatenate(pairs))
+        return both // self.size, both % self.size
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of batches with a bounded number of characters; one row at least."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(column).to_pylist()]
+        lo, size = 0, 0
+        for hi, t in enumerate(texts):
+            if hi > lo and size + len(t) > PIECE:
+                yield batch.slice(lo, hi - lo), texts[lo:hi]
+                lo, size = hi, 0
+            size += len(t)
+        if len(texts) > lo:
+            yield batch.slice(lo), texts[lo:]
+
+
+def frequencies(compacted: DataFrame, grams: GramTable) -> np.ndarray:
+    """In how many blocks (column ``c``) each gram of the table occurs. One number a gram comes back to the driver."""
+
+    def count(batches):
+        total = np.zeros(grams.size, np.int64)
+        for _, texts in _pieces(batches, 0):
+            total += np.bincount(grams.found(texts)[1], minlength=grams.size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
+
+    out = np.zeros(grams.size, np.int64)
+    for row in compacted.select("c").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        out[row["gram"]] = row["n"]
+    return out
+
+
+def _best(compacted: DataFrame, grams: GramTable, asked: list[tuple[object, list[int]]], weights: np.ndarray, k: int) -> DataFrame:
+    """``q`` (number of the query), report_id, block_pos, score: the best blocks of each piece, for each query."""
+    schema = f"q int, report_id {compacted.schema['report_id'].dataType.simpleString()}, block_pos {compacted.schema['block_pos'].dataType.simpleString()}, score long"
+
+    def score(batches):
+        cells = np.zeros((grams.size, len(asked)), np.int64)
+        for q, (_, own) in enumerate(asked):
+            cells[own, q] = weights[own]
+        for batch, _ in _pieces(batches, 0):
+            batch = batch.sort_by([("report_id", "ascending"), ("block_pos", "ascending")])
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            block, gram = grams.found(texts)
+            sums, rows = np.zeros((len(texts), len(asked)), np.int64), max(1, (1 << 22) // len(asked))
+            for lo in range(0, len(block), rows):
+                part, at = block[lo : lo + rows], cells[gram[lo : lo + rows]]
+                first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                sums[part[first]] += np.add.reduceat(at, first)
+            # stable: of equal scores the first block wins
+            top = np.argsort(-sums, axis=0, kind="stable")[:k]
+            value = np.take_along_axis(sums, top, axis=0)
+            at, q = np.nonzero(value > 0)
+            picked = pa.array(top[at, q])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), batch.column(1).take(picked), batch.column(2).take(picked), pa.array(value[at, q])], names=["q", "report_id", "block_pos", "score"])
+
+    return compacted.select("c", "report_id", "block_pos").mapInArrow(score, schema)
 
 
 def write_index(blocks: DataFrame, path: str) -> None:
@@ -55,24 +165,49 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 def search_batch(blocks: DataFrame, queries: DataFrame, k: int = 8, within: str | None = None, posts: DataFrame | None = None) -> DataFrame:
     """The ``k`` best blocks of each query (``query_id``, ``query``): ``query_id``, rank, report_id, block_pos, score.
 
-    Frequencies count all blocks, also when ``within`` restricts the results to one report. Only postings of query
-    grams leave their task.
+    Frequencies count all blocks, also when ``within`` restricts the results to one report. Without an index (``posts``)
+    the grams of a bounded set of queries are looked for in all blocks at once, and only the best blocks of each task
+    leave it: postings are never made, nor joined on frequent grams. With an index, or for more queries than
+    ``MOST_PASSES`` passes take, the postings of the queries' grams are joined; the results are the same.
     """
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "report_id", "block_pos")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     grams = queries.select("query_id", F.explode(ngrams(F.col("query"))).alias("g"))
-    wanted = grams.select("g").distinct()
-    known = [r["g"] for r in wanted.limit(MOST_LITERAL + 1).collect()] if posts is None else None
-    if known is not None and len(known) <= MOST_LITERAL:
-        hit = matching(blocks, sorted(known))
-    else:
-        few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-        posts = postings(blocks) if posts is None else posts
-        hit = posts.join(F.broadcast(wanted) if few else wanted, F.col("gram") == F.col("g"), "left_semi")
+    if posts is None:
+        size = grams.agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("q")).first()
+        # every pass may hold all its grams apart
+        passes = max(1, -(-size["n"] // MOST_GRAMS), -(-(size["n"] * size["q"]) // (MOST_CELLS * max(1, size["q"] // 400))))
+        if passes <= MOST_PASSES:
+            parts = [_search_pass(blocks, grams.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p), k, within) for p in range(passes)]
+            return ranked(reduce(DataFrame.unionByName, [x for x in parts if x is not None] or [_none(blocks, grams)]))
+        posts = postings(blocks)
+    hit = posts.join(grams.select("g").distinct(), F.col("gram") == F.col("g"), "left_semi")
     df = document_frequency(hit).select(F.col("gram").alias("g2"), "df")
     kept = hit if within is None else hit.filter(F.col("report_id") == within)
     score = F.sum(F.expr(f"{SCALE} div df"))
-    scored = kept.join(df, F.col("gram") == F.col("g2")).join(grams, F.col("gram") == F.col("g")).groupBy("query_id", "report_id", "block_pos").agg(score.alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "report_id", "block_pos")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked(kept.join(df, F.col("gram") == F.col("g2")).join(grams, F.col("gram") == F.col("g")).groupBy("query_id", "report_id", "block_pos").agg(score.alias("score")))
+
+
+def _none(blocks: DataFrame, grams: DataFrame) -> DataFrame:
+    return grams.select("query_id").limit(0).crossJoin(blocks.select("report_id", "block_pos").limit(0)).withColumn("score", F.lit(0).cast("long"))
+
+
+def _search_pass(blocks: DataFrame, grams: DataFrame, k: int, within: str | None) -> DataFrame | None:
+    """The best blocks, by piece, for a bounded number of queries; None if they have no grams."""
+    asked: dict = {}
+    for row in grams.collect():
+        asked.setdefault(row["query_id"], []).append(row["g"])
+    if not asked:
+        return None
+    names = sorted({g for own in asked.values() for g in own})
+    place, table = {g: i for i, g in enumerate(names)}, GramTable(names)
+    compacted = blocks.select(compact(F.col("text")).alias("c"), "report_id", "block_pos")
+    n = frequencies(compacted, table)
+    weights = np.where(n > 0, SCALE // np.maximum(n, 1), 0)
+    numbered = [(q, [place[g] for g in own]) for q, own in asked.items()]
+    best = _best(compacted if within is None else compacted.filter(F.col("report_id") == within), table, numbered, weights, k)
+    ids = blocks.sparkSession.createDataFrame([(i, q) for i, (q, _) in enumerate(numbered)], f"q2 int, query_id {grams.schema['query_id'].dataType.simpleString()}")
+    return best.join(F.broadcast(ids), F.col("q") == F.col("q2")).select("query_id", "report_id", "block_pos", "score")
 
 
 def search(blocks: DataFrame, query: str, k: int = 8, within: str | None = None, posts: DataFrame | None = None) -> DataFrame:

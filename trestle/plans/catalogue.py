@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trestle.functions import text as X
-from trestle.operators import evaluation, model, ordered, pairing, records, retrieval
+from trestle.operators import evaluation, labels, model, ordered, pairing, records, retrieval, schema
 from trestle.sources import docx, scans, sinks
 
 QUESTION = "the station and the garden"
@@ -37,6 +37,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def wide(column: Column) -> Column:
+    """ASCII letters and digits in their wide forms."""
+    plain = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    return F.translate(column, plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+
+
 def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reports of paragraphs: one block per line that isn't blank; counters count blank lines too."""
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -96,12 +102,17 @@ def content_id(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", X.report_id(F.col("text").cast("binary")).alias("report_id"))
 
 
-@query(rf"""WITH {BLOCKS}, t AS (SELECT report_id, string_agg(text, chr(10) ORDER BY block_pos) AS t FROM b WHERE block_pos < 80 GROUP BY report_id),
-x AS (SELECT report_id, t, regexp_extract(t, '(20[0-9]{{2}})\s*[年/-]\s*([0-9]{{1,2}})\s*[月/-]\s*([0-9]{{1,2}})', ['y', 'm', 'd']) AS d FROM t)
-SELECT report_id, CASE WHEN d.y <> '' THEN d.y || '-' || d.m || '-' || d.d END AS inspection_date_hint, try_cast(nullif(d.y, '') AS INTEGER) AS inspection_year,
- nullif(regexp_extract(t, '报告编号\s*[:：]\s*([A-Za-z0-9-]+)', 1), '') AS report_number_hint, try_cast(nullif(regexp_extract(t, '(?i)\bBCI\s*[=:：]\s*([0-9]+(?:[.][0-9]+)?)', 1), '') AS DOUBLE) AS bci_hint FROM x""")
+@query(r"""WITH t AS (SELECT o_orderkey AS report_id, o_orderkey % 5 <> 0 AS seen, o_orderkey % 4 <> 1 AS dated, o_orderkey % 3 <> 2 AS scored, o_orderdate, o_custkey FROM orders)
+SELECT report_id, CASE WHEN dated AND seen THEN year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate) END AS inspection_date_hint, CASE WHEN dated AND seen THEN 2000 + year(o_orderdate) % 100 END::INTEGER AS inspection_year,
+ 'R-' || report_id AS report_number_hint, CASE WHEN scored AND seen THEN (o_custkey % 100)::DOUBLE + 0.5 END AS bci_hint FROM (SELECT * REPLACE (make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) AS o_orderdate) FROM t)""")
 def metadata_hints(spark, sf_dir):
-    return records.metadata_hints(line_blocks(spark, sf_dir))
+    """Reports of a number, a date and a score; in every fifth, date and score stand behind the first 80 blocks."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    when = F.concat((2000 + F.year(d) % 100).cast("string"), F.lit("年"), F.month(d).cast("string"), F.lit("月 "), F.day(d).cast("string"), F.lit("日"))
+    filler = F.when(k % 5 == 0, F.transform(F.sequence(F.lit(1), F.lit(79)), lambda i: F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array(F.lit(""), F.concat(F.lit("报告编号： R-"), k.cast("string"))), filler, F.array(F.when(k % 4 != 1, when).otherwise("-"), F.when(k % 3 != 2, F.concat(F.lit("bci ="), (F.col("o_custkey") % 100).cast("string"), F.lit(".5"))).otherwise("-")))
+    rows = read(spark, sf_dir, "orders").select(k.alias("report_id"), F.posexplode(texts).alias("block_pos", "text"))
+    return records.metadata_hints(rows)
 
 
 @query(f"WITH {BLOCKS}, {GRAMS} SELECT gram, df::BIGINT AS df FROM df ORDER BY df DESC, gram LIMIT 50")
@@ -149,13 +160,14 @@ def forward_fill_rows(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", ordered.forward_fill(kind, ["user_id"], ["ts", "event_id"]).alias("filled"))
 
 
-@query("""WITH m AS (SELECT *, CASE WHEN turn % 5 = 0 THEN 'head' WHEN turn % 5 = 3 THEN '' END AS mark FROM conversations),
+@query("""WITH m AS (SELECT *, CASE WHEN turn % 5 = 0 THEN CASE WHEN (conv_id + turn) % 2 = 0 THEN 'head' ELSE 'tail' END WHEN turn % 5 = 3 THEN '' END AS mark FROM conversations),
 s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM m)
 SELECT conv_id, turn, section FROM s WHERE mark IS NULL AND section <> ''""")
 def section_sections(spark, sf_dir):
-    title = F.when(F.col("turn") % 5 == 0, "open").when(F.col("turn") % 5 == 3, "end").otherwise(F.col("role"))
+    opens = F.when((F.col("conv_id") + F.col("turn")) % 2 == 0, "open a").otherwise("open b")
+    title = F.when(F.col("turn") % 5 == 0, opens).when(F.col("turn") % 5 == 3, "end").otherwise(F.col("role"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return ordered.sections(rows, {"open": "head"}, ["end"], ["conv_id"], "turn", title).select("conv_id", "turn", "section")
+    return ordered.sections(rows, {"open a": "head", "open b": "tail"}, ["end"], ["conv_id"], "turn", title).select("conv_id", "turn", "section")
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN NULL WHEN n_name IS NOT NULL THEN n_name ELSE c_name END AS bridge_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 3 = 0""")
@@ -231,7 +243,7 @@ def lenient_cast(spark, sf_dir):
  '(^|[^0-9])[0-9]{17}[0-9Xx]([^0-9]|$)', '\1[证件号已脱敏]\2', 'g')) AS h, contains(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[邮箱已脱敏]', 'g'), '[邮箱已脱敏]') AS has_mail FROM documents""")
 def redact_text(spark, sf_dir):
     clean = X.redact_text(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(clean).alias("h"), F.contains(clean, F.lit("[邮箱已脱敏]")).alias("has_mail"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(clean).alias("h"), F.contains(clean, F.lit("[邮箱已脱敏]")).alias("has_mail"))
 
 
 @query("""SELECT c_custkey, '[已脱敏]' AS phone, c_name AS note, '[已脱敏]' AS nested_email, c_mktsegment AS nested_plain, c_acctbal FROM customer""")
@@ -277,11 +289,11 @@ def alias_components(spark, sf_dir):
     return pairing.alias_components(read(spark, sf_dir, "documents").select("doc_id", aliases.alias("aliases")), "doc_id", "aliases")
 
 
-@query("""WITH r AS (SELECT n_nationkey, sha256('city-inspection-v1:' || n_name) AS rank, n_name FROM nation),
-p AS (SELECT *, row_number() OVER (ORDER BY rank, n_name) AS place, count(*) OVER () AS n FROM r)
-SELECT n_nationkey, CASE WHEN place <= greatest(1, least(n - 1, round_even(n * 0.2, 0)::BIGINT)) THEN 'validation' ELSE 'train' END AS split FROM p""")
+@query("""WITH r AS (SELECT c_custkey, sha256('split-1:' || c_name) AS rank, c_name FROM customer),
+p AS (SELECT *, row_number() OVER (ORDER BY rank, c_name) AS place, count(*) OVER () AS n FROM r)
+SELECT c_custkey, CASE WHEN place <= greatest(1, least(n - 1, round_even(n * 0.2, 0)::BIGINT)) THEN 'validation' ELSE 'train' END AS split FROM p""")
 def group_holdout(spark, sf_dir):
-    return pairing.holdout(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("n_name")).select("n_nationkey", "split")
+    return pairing.holdout(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("c_name"), "split-1").select("c_custkey", "split")
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS x FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL), b AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS y FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL),
@@ -292,35 +304,132 @@ def row_recall(spark, sf_dir):
     return evaluation.multiset_recall(rows.filter("l_linenumber % 2 = 1"), rows.filter("l_linenumber % 2 = 0"), ["l_orderkey"], ["l_returnflag", "l_linestatus"])
 
 
-@query("""WITH p AS (SELECT item_id, b.text AS x, d.text AS y FROM benchmark b JOIN documents d ON item_id = doc_id), a AS (SELECT item_id, ch, count(*) AS n FROM (SELECT item_id, unnest(string_split(x, '')) AS ch FROM p) WHERE ch <> '' GROUP BY ALL),
+@query(r"""WITH p AS (SELECT item_id, regexp_replace(b.text, '\s+', '', 'g') AS x, regexp_replace(d.text, '\s+', '', 'g') AS y FROM benchmark b JOIN documents d ON item_id = doc_id),
+a AS (SELECT item_id, ch, count(*) AS n FROM (SELECT item_id, unnest(string_split(x, '')) AS ch FROM p) WHERE ch <> '' GROUP BY ALL),
 b2 AS (SELECT item_id, ch, count(*) AS m FROM (SELECT item_id, unnest(string_split(y, '')) AS ch FROM p) WHERE ch <> '' GROUP BY ALL),
 s AS (SELECT item_id, coalesce(sum(least(coalesce(n, 0), coalesce(m, 0))), 0)::BIGINT AS shared, sum(coalesce(n, 0) + coalesce(m, 0))::BIGINT AS total FROM a FULL JOIN b2 USING (item_id, ch) GROUP BY item_id)
-SELECT item_id, shared, total, round(2 * shared / total, 6) AS f1 FROM s""")
+SELECT item_id, total, round(2 * shared / total, 6) AS f1 FROM s""")
 def char_f1(spark, sf_dir):
-    a, b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("x")), read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("y"))
+    """Texts as they compare; the second one is put into wide letters first, which only NFKC undoes."""
+    a, b = read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("x")), read(spark, sf_dir, "documents").select("doc_id", wide(F.col("text")).alias("y"))
     return evaluation.character_f1(a.join(b, F.col("item_id") == F.col("doc_id")), ["item_id"], "x", "y").withColumn("f1", F.round("f1", 6))
 
 
-@query("""WITH s AS (SELECT l_orderkey, (sum((l_quantity * 100)::BIGINT))::BIGINT AS q, max(l_linestatus) AS st FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey, abs(coalesce(q, 0)::DOUBLE - o_custkey::DOUBLE) <= 0.005 AS score_equal, CASE WHEN st IS NULL THEN false ELSE upper(o_orderstatus) = upper(st) END AS grade_equal FROM orders LEFT JOIN s ON o_orderkey = l_orderkey""")
+@query("""WITH s AS (SELECT l_orderkey, max(l_linestatus) AS st FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, abs((o_custkey + 0.5)::DOUBLE - (o_custkey::DOUBLE + 0.5 + (o_orderkey % 3)::DOUBLE * 0.004)) <= 0.005 AS score_equal, CASE WHEN st IS NULL THEN false ELSE upper(o_orderstatus) = upper(st) END AS grade_equal,
+ o_orderkey % 2 = 0 AS date_equal, o_orderkey % 7 <> 0 AS count_equal FROM orders LEFT JOIN s ON o_orderkey = l_orderkey""")
 def field_match(spark, sf_dir):
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum((F.col("l_quantity") * 100).cast("long")).alias("q"), F.max("l_linestatus").alias("st"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linestatus").alias("st"))
     rows = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    told = (c.cast("double") + 0.5 + (k % 3).cast("double") * 0.004).cast("string")
+    equal = lambda a, b, path: evaluation.field_equal(a, b, F.lit(path))
+    day = F.concat(F.lit("2013-10-"), (k % 9 + 1).cast("string"))
+    other = F.when(k % 2 == 0, F.concat(F.lit("2013年10月"), (k % 9 + 1).cast("string"), F.lit("日"))).otherwise("2013年10月")
     return rows.select(
-        "o_orderkey", evaluation.field_equal(F.coalesce("q", F.lit(0)).cast("string"), F.col("o_custkey").cast("string"), F.lit("overall_score")).alias("score_equal"),
-        evaluation.field_equal(F.concat(F.col("o_orderstatus"), F.lit("级")), F.lower("st"), F.lit("overall_grade")).alias("grade_equal"),
+        "o_orderkey", equal(F.concat(c.cast("string"), F.lit(".50")), told, "overall_score").alias("score_equal"),
+        equal(F.concat(F.col("o_orderstatus"), F.lit("级")), F.lower("st"), "overall_grade").alias("grade_equal"), equal(day, other, "inspection_date").alias("date_equal"),
+        equal(F.lit("2条立即处置"), F.concat(F.when(k % 7 == 0, "3").otherwise("2"), F.lit("条立即处置、0条尽快维修")), "recommendation_counts").alias("count_equal"),
     )
 
 
-@query("""SELECT o_orderkey AS label_file, '总体技术状况评分' AS field, o_custkey::VARCHAR AS summary_value, (o_orderkey % 97)::VARCHAR AS detail_value, 'summary_detail_conflict' AS reason FROM orders WHERE abs(o_custkey - o_orderkey % 97) > 0.005""")
+@query("""SELECT o_orderkey AS label_file, '总体评分' AS field, o_custkey::VARCHAR AS summary_value, (o_orderkey % 97)::VARCHAR AS detail_value, 'summary_detail_conflict' AS reason FROM orders WHERE abs(o_custkey - o_orderkey % 97) > 0.005
+UNION ALL SELECT o_orderkey, '总体等级', 'B级', 'C级', 'summary_detail_conflict' FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, '建议', '1条立即处置', (o_orderkey % 3)::VARCHAR || '条立即处置、0条尽快维修、0条预防性养护', 'summary_row_counts_conflict' FROM orders WHERE o_orderkey % 3 = 2""")
 def consistency_audit(spark, sf_dir):
+    k = F.col("o_orderkey")
     rows = read(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("label_file"), F.create_map(F.lit("总体技术状况评分"), F.col("o_custkey").cast("string")).alias("summary"),
-        F.concat(F.lit("总体技术状况评分"), (F.col("o_orderkey") % 97).cast("string"), F.lit("。")).alias("detail"),
+        k.alias("label_file"), F.create_map(F.lit("总体评分"), F.col("o_custkey").cast("string"), F.lit("总体等级"), F.lit("B级"), F.lit("建议"), F.lit("1条立即处置")).alias("summary"),
+        F.concat(F.lit("总体技术状况评分 "), (k % 97).cast("string"), F.lit("，总体技术状况等级为 "), F.when(k % 3 == 0, "C").otherwise("B"), F.lit("级。")).alias("detail"),
+        F.array_repeat(F.lit("立即处置"), (k % 3).cast("int")).alias("categories"),
     )
     return evaluation.consistency_issues(rows)
 
 
+@query("""WITH p AS (SELECT o_orderkey AS record_pos, CASE o_orderkey % 4 WHEN 0 THEN 'y/' || (o_custkey % 100) || '.docx' WHEN 1 THEN (o_custkey % 120) || '.docx' ELSE 'z/' || (o_custkey % 110) || '.docx' END AS file_name FROM orders),
+t AS (SELECT *, regexp_replace(file_name, '^.*/', '') AS name FROM p), k AS (SELECT range AS i, 'y/' || range || '.docx' AS train_file, range || '.docx' AS name FROM range(100)),
+d AS (SELECT name FROM k UNION ALL SELECT '7.docx'), o AS (SELECT name FROM d GROUP BY name HAVING count(*) = 1),
+m AS (SELECT t.record_pos, t.file_name, CASE WHEN a.i IS NOT NULL THEN a.train_file WHEN b.i IS NOT NULL AND o.name IS NOT NULL THEN b.train_file END AS train_file FROM t LEFT JOIN k a ON t.file_name = a.train_file LEFT JOIN k b ON t.name = b.name LEFT JOIN o ON o.name = t.name)
+SELECT record_pos, file_name, train_file, CASE WHEN train_file IS NULL THEN 'missing/ambiguous pair or duplicate prediction' WHEN row_number() OVER (PARTITION BY train_file ORDER BY record_pos) > 1 THEN 'duplicate prediction for the same original' END AS match_error FROM m""")
+def prediction_pairs(spark, sf_dir):
+    """Predictions to pairs: by path, by bare name where it is alone (7.docx stands in two folders), the first of a file."""
+    c, n = F.col("o_custkey"), lambda m: F.concat((F.col("o_custkey") % m).cast("string"), F.lit(".docx"))
+    k = F.col("o_orderkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("y/"), n(100))).when(k % 4 == 1, n(120)).otherwise(F.concat(F.lit("z/"), n(110)))
+    pairs = spark.range(100).select(F.concat(F.lit("y/"), F.col("id").cast("string"), F.lit(".docx")).alias("train_file"), F.concat(F.lit("l/"), F.col("id").cast("string")).alias("label_file"))
+    pairs = pairs.union(spark.range(1).select(F.lit("x/7.docx"), F.lit("l/x7")))
+    asked = read(spark, sf_dir, "orders").filter(c.isNotNull()).select(k.alias("record_pos"), name.alias("file_name"))
+    return evaluation.match_predictions(asked, pairs).select("record_pos", "file_name", "train_file", "match_error")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS x FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL), b AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS y FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL),
+j AS (SELECT l_orderkey, sum(coalesce(x, 0)) AS n_labels, sum(coalesce(y, 0)) AS n_told, sum(least(coalesce(x, 0), coalesce(y, 0))) AS hits FROM a FULL JOIN b USING (l_orderkey, l_returnflag, l_linestatus) GROUP BY l_orderkey),
+e AS (SELECT o_orderkey, o_orderkey % 4 = 3 AS failed, (o_orderkey % 3 < 2)::INTEGER AS score, coalesce(n_labels, 0) AS n_labels, coalesce(n_told, 0) AS n_told, coalesce(hits, 0) AS hits FROM orders LEFT JOIN j ON o_orderkey = l_orderkey)
+SELECT o_orderkey AS record_pos, CASE WHEN failed THEN 0.0 ELSE (score + 1) / 2 END::DOUBLE AS summary_field_accuracy, round(CASE WHEN failed THEN 0.0 WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE NULL END, 6)::DOUBLE AS f1_if_plain,
+ round(CASE WHEN n_labels = 0 THEN CASE WHEN failed OR n_told = 0 THEN 1.0 ELSE 0.0 END WHEN failed THEN 0.0 ELSE hits / n_labels END, 6)::DOUBLE AS disease_record_recall,
+ CASE WHEN failed OR n_told = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS evidence_coverage, CASE WHEN failed THEN 0 ELSE 1 END::INTEGER AS invalid_evidence_count FROM e WHERE failed OR n_told % 2 = 0""")
+def record_scores(spark, sf_dir):
+    """Whole records against their labels: fields, rows and evidence, with failed records and records without rows."""
+    k = F.col("o_orderkey")
+    line = F.struct(F.col("l_returnflag").alias("location"), F.col("l_linestatus").alias("disease_type"), F.lit("d").alias("description"))
+    odd = F.col("l_linenumber") % 2 == 1
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(odd, line)).alias("a"), F.array_sort(F.collect_list(F.when(~odd, line))).alias("b"))
+    rows = read(spark, sf_dir, "orders").join(lines, k == F.col("l_orderkey"), "left")
+    kind = "array<struct<location:string,disease_type:string,description:string>>"
+    a, b = (F.coalesce(c, F.array().cast(kind)) for c in ("a", "b"))
+    # the first half of the rows cites evidence that holds
+    told = F.transform(b, lambda d, i: F.struct(d["location"].alias("location"), d["disease_type"].alias("disease_type"), d["description"].alias("description"), F.array(F.when(2 * i < F.size(b), "p:1").otherwise("p:2")).alias("evidence_ids")))
+    score = F.col("o_custkey").cast("double") + 0.5 + (k % 3).cast("double") * 0.004
+    quotes = F.array(*[F.struct(F.lit(s).alias("source_id"), F.lit(q).alias("quote")) for s, q in (("p:1", "long"), ("p:2", "short"))])
+    prediction = F.to_json(F.struct(score.alias("overall_score"), F.lit("Ｂ").alias("overall_grade"), told.alias("diseases"), quotes.alias("evidence")))
+    full = F.transform(a, lambda d: F.struct(F.lit(0).cast("long").alias("row_pos"), d["location"].alias("location"), d["disease_type"].alias("disease_type"), d["description"].alias("description"), *[F.lit(None).cast("string").alias(f) for f in ("is_new", "previous_status", "development")]))
+    none, nothing = F.array().cast("array<string>"), F.array().cast("array<struct<row_pos:bigint,category:string,content:string,location:string>>")
+    label = F.struct(
+        F.create_map(F.lit("总体评分"), F.concat(F.col("o_custkey").cast("string"), F.lit(".5")), F.lit("总体等级"), F.lit("B")).alias("summary"), full.alias("diseases"), nothing.alias("recommendations"),
+        *[none.alias(s) for s in ordered.SECTIONS.values()],
+    )
+    rows = rows.filter((k % 4 == 3) | (F.size(b) % 2 == 0))
+    given = rows.select(k.alias("record_pos"), F.lit("f").alias("file_name"), F.when(k % 4 == 3, "failed").otherwise("success").alias("status"), prediction.alias("prediction"), label.alias("label"), F.create_map(F.lit("p:1"), F.lit("a long text"), F.lit("p:2"), F.lit("a text")).alias("sources"))
+    out = evaluation.score_records(given)
+    f1 = F.when(F.col("record_pos") % 4 == 3, F.col("summary_character_f1")).when(F.col("record_pos") % 3 == 0, F.col("summary_character_f1"))
+    return out.select("record_pos", "summary_field_accuracy", F.round(f1, 6).alias("f1_if_plain"), F.round("disease_record_recall", 6).alias("disease_record_recall"), "evidence_coverage", "invalid_evidence_count")
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'record must be an object' WHEN 2 THEN 'unknown keys: zz' WHEN 3 THEN 'diseases must be a list' WHEN 4 THEN 'disease.is_new must be true, false or null'
+ WHEN 5 THEN 'unknown keys in evidence: page_no' WHEN 6 THEN 'key_risks must be a list of strings' ELSE 'recommendation_details.category must be a string or null' END AS error FROM events""")
+def record_validate(spark, sf_dir):
+    """Records with one fault each, at every depth of the format."""
+    value = F.to_json(F.struct(F.col("event_type").alias("summary"), F.col("value").alias("overall_score")))
+    other = lambda text: F.concat(F.lit("{" + text + ', "summary": "'), F.col("event_type"), F.lit('"}'))
+    k = F.col("event_id") % 8
+    payload = (
+        F.when(k == 0, value).when(k == 1, F.lit("[1]")).when(k == 2, other('"zz": 1')).when(k == 3, other('"diseases": {}')).when(k == 4, other('"diseases": [{"location": null}, {"is_new": 1}]'))
+        .when(k == 5, other('"evidence": [{"source_id": "a", "quote": "b", "page_no": 1}]')).when(k == 6, other('"key_risks": ["a", 2]')).otherwise(other('"recommendation_details": [{"category": 3}]'))
+    )
+    return read(spark, sf_dir, "events").select("event_id", schema.record_error(payload).alias("error"))
+
+
+@query("""WITH l AS (SELECT *, l_linenumber % 3 = 2 AS short FROM lineitem)
+SELECT o_orderkey AS report_id, o_custkey::VARCHAR AS score, count(*) FILTER (NOT short)::INTEGER AS n_rows, coalesce(string_agg(l_returnflag || '/' || l_linestatus, ',' ORDER BY l_linenumber, l_returnflag, l_linestatus) FILTER (NOT short), '') AS kept,
+ count(*) FILTER (short)::INTEGER AS n_warnings FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY ALL""")
+def label_tables(spark, sf_dir):
+    """Labels with a summary table without a header, and a disease table some rows of which lack a cell."""
+    k = F.col("o_orderkey")
+    none = F.lit(None).cast("array<string>")
+    block = lambda pos, table, row, cells: F.struct(pos.alias("block_pos"), F.lit(table).alias("table_index"), row.alias("row_index"), cells.alias("cells"))
+    base = read(spark, sf_dir, "orders")
+    head = base.select(k.alias("report_id"), F.explode(F.array(
+        block(F.lit(0), 0, F.lit(0), F.array(F.lit("总体 评分"), F.col("o_custkey").cast("string"))), block(F.lit(1), 1, F.lit(0), F.array(*[F.lit(x) for x in ("序号", "病害位置", "病害类型")])),
+    )).alias("b"))
+    line = read(spark, sf_dir, "lineitem")
+    cells = F.when(F.col("l_linenumber") % 3 == 2, F.array(F.lit("x"), F.col("l_returnflag"))).otherwise(F.array(F.lit("x"), F.col("l_returnflag"), F.col("l_linestatus")))
+    rows = line.select(F.col("l_orderkey").alias("report_id"), block((F.col("l_linenumber") + 1).cast("int"), 1, F.col("l_linenumber").cast("int"), cells).alias("b"))
+    rows = head.unionByName(rows).select("report_id", "b.*").withColumns({"kind": F.lit("table"), "text": F.lit(""), "source_id": F.lit("t"), "cells": F.coalesce("cells", none)})
+    out = labels.parse_labels(rows)
+    shown = F.array_join(F.transform("diseases", lambda d: F.concat(d["location"], F.lit("/"), d["disease_type"])), ",")
+    return out.select("report_id", F.try_element_at("summary", F.lit("总体评分")).alias("score"), F.size("diseases").alias("n_rows"), shown.alias("kept"), F.size("warnings").alias("n_warnings"))
+
+
 @query("""SELECT count(*)::BIGINT AS n_scored, round(avg((quality = CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END)::INTEGER), 6) AS accuracy, round(avg(toxic), 6) AS toxic FROM labels JOIN documents USING (doc_id)""")
 def macro_metrics(spark, sf_dir):
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -369,13 +478,27 @@ def category_counts(spark, sf_dir):
     return rows.groupBy("p_brand").agg(F.concat_ws("、", *[F.concat(n(k), F.lit(f"条{k}")) for k in X.CATEGORIES]).alias("counts"))
 
 
-@query("""SELECT item_id AS query_id, 'blocked' AS status, 0 AS n_cited FROM benchmark""")
+@query(f"""WITH {BLOCKS}, {GRAMS}, {_query_grams('(SELECT item_id AS query_id, text AS t FROM benchmark)', 't')}, {SCORED.format(where='')}, {RANKED}, a AS (SELECT query_id, count(*) AS n, string_agg(report_id || '/' || source_id, ',' ORDER BY rank) FILTER (rank IN (1, 3)) AS cited
+ FROM r JOIN b USING (report_id, block_pos) WHERE rank <= 12 GROUP BY query_id)
+SELECT item_id AS query_id, CASE WHEN n IS NULL THEN 'no_evidence' WHEN item_id % 5 = 4 THEN 'blocked' ELSE 'success' END AS status, CASE WHEN n IS NULL OR item_id % 5 = 4 THEN '' ELSE n::VARCHAR END AS answer,
+ CASE WHEN n IS NULL OR item_id % 5 = 4 THEN '' ELSE cited END AS cited FROM benchmark LEFT JOIN a ON item_id = query_id""")
 def qa_evidence(spark, sf_dir):
+    """A stand-in for a model: it counts the evidence lines, cites the first and the third, and one that isn't there."""
+    import json
+    import re
+
     def backend():
-        raise model.ModelUnavailable("no weights")
+        def ask(system, user, most):
+            if "(refuse)" in user:
+                return "no"
+            given = re.findall(r"(?m)^\[(.*?)\] ", user.split("\nEvidence:\n", 1)[1])
+            return json.dumps({"answer": str(len(given)), "evidence_ids": [given[0], *given[2:3], "none"]})
 
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return model.answers(line_blocks(spark, sf_dir), asked, backend).select("query_id", "status", F.size("cited").alias("n_cited"))
+        return ask
+
+    text = F.concat(F.col("text"), F.when(F.col("item_id") % 5 == 4, " (refuse)").otherwise(""))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), text.alias("shown"))
+    return model.answers(line_blocks(spark, sf_dir), asked, backend, shown="shown").select("query_id", "status", "answer", F.array_join("cited", ",").alias("cited"))
 
 
 @query("""SELECT doc_id, (substr(md5(text), 1, 1) < '8') AS is_low, CASE WHEN substr(md5(text), 1, 1) < '8' THEN '是' ELSE '否' END AS shown, regexp_replace(source, '\\.[^.]*$', '') || '.docx' AS result_name FROM documents""")
@@ -398,16 +521,21 @@ def evidence_coverage(spark, sf_dir):
     return evaluation.evidence_coverage(_claims(blocks), blocks).withColumn("coverage", F.round("coverage", 6))
 
 
-@query()
+@query(r"""SELECT doc_id, md5(text) AS h, length(regexp_replace(text, '\s+', '', 'g'))::INTEGER AS n FROM documents""")
 def nfkc_equal(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", (X.nfkc(F.col("text")) == F.col("text")).alias("same"), F.length(X.comparable(F.col("text"))).alias("n"))
+    """Texts in wide letters, which NFKC turns back; blanks don't count in comparisons."""
+    text = wide(F.col("text"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.md5(X.nfkc(text)).alias("h"), F.length(X.comparable(text)).alias("n"))
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+c AS (SELECT doc_id, k, regexp_replace(regexp_replace(replace(raw, chr(160), ' '), '[ \t\r\f\x0B]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM l), f AS (SELECT doc_id, (length(t) > 0)::INTEGER AS titled, t FROM c WHERE k = 0)
+SELECT 'd' || doc_id || '.docx' AS file_name, (k + titled)::BIGINT AS block_pos, 'table:0:' || k AS source_id, c.t || ' | b' AS text, NULL::VARCHAR AS error FROM c JOIN f USING (doc_id)
+UNION ALL SELECT 'd' || doc_id || '.docx', 0, 'paragraph:0', t, NULL FROM f WHERE titled = 1""")
 def docx_roundtrip(spark, sf_dir):
     """Each document rendered as a Word file and parsed again: its blocks."""
     lines = F.split("text", "\n")
-    rows = read(spark, sf_dir, "documents").select(
+    rows = spread(read(spark, sf_dir, "documents")).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("file_name"), F.coalesce(F.get(lines, 0), F.lit("")).alias("title"),
         F.transform(lines, lambda x: F.array(x, F.lit("b"))).alias("summary"),
     )

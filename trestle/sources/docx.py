@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -21,6 +22,10 @@ BLOCKS = (
 )
 
 
+#: Fill of a header cell.
+SHADE = "E8EEF5"
+
+
 def _text(node) -> str:
     out = []
     for x in node.iter():
@@ -34,9 +39,8 @@ def _text(node) -> str:
 
 
 def _clean(text: str) -> str:
-    import re
-
-    text = re.sub(r"[ \t\r\f\v]+", " ", text.replace(" ", " "))
+    """:func:`trestle.functions.text.normalize_text` where there is no column yet."""
+    text = re.sub(r"[ \t\r\f\v]+", " ", text.replace("\xa0", " "))
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
@@ -74,8 +78,9 @@ def parse(data: bytes) -> list[tuple]:
     return out
 
 
-def blocks(files: DataFrame) -> DataFrame:
-    """Blocks of Word files (``path``, ``content``). A file that can't be read is one row with its ``error``."""
+def blocks(files: DataFrame, fail_fast: bool = False) -> DataFrame:
+    """Blocks of Word files (``path``, ``content``). A file that can't be read is one row with its ``error``; with
+    ``fail_fast`` it ends the job."""
 
     def each(batches):
         for batch in batches:
@@ -86,6 +91,8 @@ def blocks(files: DataFrame) -> DataFrame:
                         raise ValueError("no converter for this format" if ext == ".doc" else f"unsupported format {ext or 'none'}")
                     rows += [(rid, name, ext, k, s, t, kind, ti, ri, None, cells, None) for k, (s, t, kind, ti, ri, cells) in enumerate(parse(bytes(data)))]
                 except Exception as e:
+                    if fail_fast:
+                        raise ValueError(f"{name}: {type(e).__name__}: {e}") from e
                     rows.append((rid, name, ext, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
             yield out.astype({"block_pos": "Int64", "table_index": "Int32", "row_index": "Int32", "page": "Int32"})
@@ -95,11 +102,34 @@ def blocks(files: DataFrame) -> DataFrame:
     return named.mapInPandas(each, BLOCKS)
 
 
+def _paragraph(text: str, style: str = "", centre: bool = False) -> str:
+    placed = '<w:pPr><w:jc w:val="center"/></w:pPr>' if centre else ""
+    return f'<w:p>{placed}<w:r>{style and f"<w:rPr>{style}</w:rPr>"}<w:t xml:space="preserve">{escape(text)}</w:t></w:r></w:p>'
+
+
+def _table(rows: list[list[str]], widths: list[float] | None) -> str:
+    """A table; with ``widths`` (inches) it has a grid, a shaded bold first row, and cells aligned."""
+    if widths is None:
+        return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{_paragraph(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+    edges = "".join(f'<w:{e} w:val="single" w:sz="4" w:space="0" w:color="auto"/>' for e in ("top", "left", "bottom", "right", "insideH", "insideV"))
+    inches = [round(1440 * w) for w in widths]
+    out = [f'<w:tbl><w:tblPr><w:tblBorders>{edges}</w:tblBorders><w:tblLayout w:type="fixed"/></w:tblPr><w:tblGrid>' + "".join(f'<w:gridCol w:w="{w}"/>' for w in inches) + "</w:tblGrid>"]
+    for k, row in enumerate(rows):
+        look = f'<w:shd w:val="clear" w:fill="{SHADE}"/><w:vAlign w:val="center"/>' if k == 0 else '<w:vAlign w:val="top"/>'
+        out.append("<w:tr>" + "".join(f'<w:tc><w:tcPr><w:tcW w:w="{w}" w:type="dxa"/>{look}</w:tcPr>{_paragraph(c, "<w:b/>" if k == 0 else "")}</w:tc>' for c, w in zip(row, inches, strict=True)) + "</w:tr>")
+    return "".join(out) + "</w:tbl>"
+
+
 def document(items: list) -> bytes:
-    """A Word package: strings are paragraphs, lists of rows are tables."""
-    par = lambda t: f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>'
-    table = lambda rows: "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{par(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
-    body = "".join(par(i) if isinstance(i, str) else table(i) for i in items)
+    """A Word package: strings are paragraphs, lists of rows are plain tables, a pair (rows, widths) is a styled table,
+    and {"title": text} a centred bold heading."""
+
+    def part(i) -> str:
+        if isinstance(i, dict):
+            return _paragraph(i["title"], '<w:b/><w:sz w:val="32"/>', centre=True)
+        return _paragraph(i) if isinstance(i, str) else _table(*i) if isinstance(i, tuple) else _table(i, None)
+
+    body = "".join(map(part, items))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')

@@ -16,11 +16,14 @@ def status_counts(records: DataFrame) -> DataFrame:
 
 
 def manifest(records: DataFrame, source: str, split: str) -> DataFrame:
-    """One row: version, counters and the redacted records in order (a report per element; for export, not analysis)."""
-    rows = F.array_sort(F.collect_list(F.struct("record_pos", F.struct(*[c for c in records.columns if c != "record_pos"]).alias("r"))))
-    counts = [F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES]]
-    out = redact_row(records).agg(*counts, F.transform(rows, lambda x: x["r"]).alias("records"))
-    return out.select(F.lit(VERSION).alias("schema_version"), F.lit(source).alias("input_source"), F.lit(split).alias("split"), "*")
+    """One row: version, origin and counters. The records themselves stay in files of their own, written by all tasks."""
+    return status_counts(records).select(F.lit(VERSION).alias("schema_version"), F.lit(source).alias("input_source"), F.lit(split).alias("split"), "*")
+
+
+def write_predictions(records: DataFrame, source: str, split: str, path: str) -> None:
+    """The manifest and the redacted records, a record per JSON line with its ``record_pos``, in order within a file."""
+    manifest(records, source, split).write.mode("overwrite").json(f"{path}/manifest")
+    redact_row(records).withColumn("split", F.lit(split)).repartitionByRange("record_pos").sortWithinPartitions("record_pos").write.mode("overwrite").json(f"{path}/records")
 
 
 def write_audit(records: DataFrame, path: str) -> None:
