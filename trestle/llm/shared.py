@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """Folder that every executor sees: spark.checkpoint.dir; where it is unset, one beside the warehouse, shared too."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='trestle-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-trestle").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -39,14 +36,34 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def forget(df: DataFrame | None) -> None:
-    """Remove a table written by :func:`cut` that nothing reads any more."""
-    path = getattr(df, "_trestle_path", None)
-    if path is None:
-        return
-    sc = df.sparkSession.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+def bucketed(df: DataFrame, column: str, label: str, buckets: int | None = None, compression: str = "zstd", *parts: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``column`` (inside folders by ``parts``): groups of it need no
+    further shuffle."""
+    spark = df.sparkSession
+    name, path = f"trestle_{label}_{uuid.uuid4().hex}".replace("-", "_"), fresh_path(spark, label)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.partitionBy(*parts).bucketBy(n, column).option("path", path).option("compression", compression).saveAsTable(name)
+    out = spark.table(name)
+    out._trestle_path, out._trestle_name = path, name
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove tables written by :func:`cut` or :func:`bucketed` that nothing reads any more."""
+    for df in tables:
+        path, name = getattr(df, "_trestle_path", None), getattr(df, "_trestle_name", None)
+        if name is not None:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        if path is not None:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs: it does so once the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def nested(docs: DataFrame) -> DataFrame:
