@@ -11,14 +11,17 @@
 A word that is in every block has one entry a block in its bucket, however often it occurs. Texts are read once: blocks
 are written to the shared folder in files by block, where the ids meet them without a second shuffle.
 
-Defined cases: null text is the empty text: no ids. Equal documents are encoded each. Rows with the same doc_id
-stay apart (a row is a position in its block). Other columns of the input are ignored.
+A bucket keeps at most ``MOST_KNOWN`` words at hand: one that holds more (as the number of buckets follows
+spark.sql.shuffle.partitions, only a setting far too low for the corpus makes it) forgets them and may encode a word
+again, so that its memory stays bounded.
+
+Defined cases: null text is the empty text: no ids. A null doc_id stays null. Equal documents are encoded each. Rows
+with the same doc_id stay apart (a row is a position in its block). Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trestle.llm.shared import fresh_path, text_of
+from trestle.llm.shared import bucketed, cut, forget, text_of
 from trestle.llm.vocab import encoder, token_bytes
 
 #: A block is closed when it has so many pre-tokens or documents; the last piece of 500 documents may go beyond.
 BLOCK_WORDS, BLOCK_DOCS = 800_000, 20_000
+#: Words that a bucket keeps with their ids, at most.
+MOST_KNOWN = 1 << 20
+#: Stands for a null doc_id inside of blocks.
+NO_ID = -(2**63)
 DIGESTS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
@@ -90,7 +97,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int):
 
 def _pre_tokens(docs: DataFrame, pattern: str) -> DataFrame:
     found = F.regexp_extract_all(text_of(docs), F.lit(java_pattern(pattern)), F.lit(0))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), found.alias("words"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), found.alias("words"))
 
 
 def block_table(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
@@ -113,10 +120,9 @@ def block_table(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
                 names=["bucket", "home", "packed", "kind"],
             )
 
-    spark, name = docs.sparkSession, f"trestle_blocks_{uuid.uuid4().hex}"
     found = _pre_tokens(docs, pattern).mapInArrow(each, "bucket int, home long, packed binary, kind int")
-    found.write.partitionBy("kind").bucketBy(buckets, "home").option("path", fresh_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    # packed already
+    return bucketed(found, "home", "blocks", buckets, "none", "kind")
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -136,6 +142,8 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
                     at += n
                     found = known.get(word)
                     if found is None:
+                        if len(known) >= MOST_KNOWN:
+                            known.clear()
                         found = known[word] = own.encode_ordinary(word.decode())
                     ids.append(found)
                 flat = np.fromiter((i for x in ids for i in x), "<u4")
@@ -175,7 +183,8 @@ def _documents(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.Array, pa.A
 
 
 def _assembled(docs: DataFrame, path: str, pattern: str, finish, schema: str) -> DataFrame:
-    """``finish`` (a table of a block's documents from their ids) inside the task that gathers the block."""
+    """``finish`` (a table of a block's documents from their ids) inside the task that gathers the block. The result is
+    written to the shared folder, and the blocks are removed."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = block_table(docs, pattern, buckets)
     back = encode_words(blocks.filter("kind = 1").select("bucket", "home", "packed"), path, pattern)
@@ -184,7 +193,10 @@ def _assembled(docs: DataFrame, path: str, pattern: str, finish, schema: str) ->
     def assemble(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.concat_tables([finish(*x) for x in _documents(left, right)])
 
-    return own.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(assemble, schema)
+    whole = own.groupBy("home").cogroup(back.groupBy("home")).applyInArrow(assemble, schema)
+    out = cut(whole.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))), "blocks-encoded")
+    forget(blocks)
+    return out
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
