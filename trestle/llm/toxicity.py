@@ -5,8 +5,9 @@ probabilities. In training these are out-of-fold predictions, so that a later mo
 they are on unseen documents. Inputs are the presence of hashed words; a chi-squared test over the training sample
 keeps the words that tell, so that long clean texts don't add up noise.
 
-``labels`` has one label, ``toxic``. The finer categories are learned from it and from short seed lists that are a
-parameter: a toxic row with a seed word of a category carries the category; the chain ends in ``toxic`` itself.
+``labels`` has one label, ``toxic``. The finer categories are learned too: toxic rows of the sample are grouped by
+the telling words that they share (k-means from far-apart rows), and a group is a category. A toxic row without such a
+word carries none. The chain ends in ``toxic`` itself. No list of words is an input.
 
 Defined cases: null text is the empty text and has no words; with no labelled rows, or none of either kind, a
 category's probability is its smoothed mean; repeated rows are scored each; other columns are ignored.
@@ -28,11 +29,8 @@ from trestle.llm.samples import held_out, training_texts
 #: Labelled rows used for training, at most; hash bits; words kept; folds.
 MOST_ROWS, BITS, MOST_WORDS, FOLDS = 15_000, 20, 240, 5
 BEGINNINGS = (4, 5, 6, 7, 8)
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid", "fool"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage"),
-}
-CHAIN = [*SEEDS, "toxic"]
+KINDS = ["kind_1", "kind_2"]
+CHAIN = [*KINDS, "toxic"]
 
 
 def _bare(texts: pa.Array) -> pa.Array:
@@ -53,9 +51,25 @@ def presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def _hash(words_: tuple[str, ...]) -> set[int]:
-    """Hashes of whole words, without those of their beginnings."""
-    return set((words(pa.array(list(words_), pa.string()))[0] >> np.uint64(64 - BITS)).tolist())
+def _grouped(x: np.ndarray, n: int, rounds: int = 20) -> np.ndarray:
+    """A group from 0 to n - 1 for each row by the cosine of its words, the largest first; -1 for rows without any.
+    Starts from the row nearest to the mean and those farthest from the starts before: the same for the same rows."""
+    out = np.full(len(x), -1)
+    some = np.flatnonzero(x.any(1))
+    if not len(some):
+        return out
+    v = x[some] / np.linalg.norm(x[some], axis=1, keepdims=True)
+    starts = [int((v @ v.mean(0)).argmax())]
+    while len(starts) < n:
+        starts.append(int((v @ v[starts].T).max(1).argmin()))
+    middle = v[starts]
+    for _ in range(rounds):
+        own = (v @ middle.T).argmax(1)
+        sums = np.array([v[own == k].sum(0) for k in range(n)])
+        middle = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+    order = np.argsort(-np.bincount(own, minlength=n), kind="stable")
+    out[some] = np.argsort(order)[own]
+    return out
 
 
 def _fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 12) -> np.ndarray:
@@ -129,17 +143,14 @@ def fit(of: np.ndarray, word: np.ndarray, y: np.ndarray, folds: np.ndarray) -> C
         slots[order] = np.arange(len(order), dtype=np.int32)
     x = _matrix(slots, of, word, n)
     weights = []
-    for name in CHAIN:
-        seeds = np.array(sorted(_hash(SEEDS[name]))) if name in SEEDS else None
-        goal = y.copy()
-        if seeds is not None:
-            has = np.zeros(n, bool)
-            has[of[np.isin(word, seeds)]] = True
-            goal = y * has
+    kind = np.full(n, -1)
+    kind[y > 0] = _grouped(x[y > 0], len(KINDS))
+    for k, name in enumerate(CHAIN):
+        goal = y if name == "toxic" else (kind == k).astype(np.float64)
         weights.append(_fit_linear(x, goal))
         seen = np.zeros(n)
-        for k in range(FOLDS):
-            out = folds == k
+        for fold in range(FOLDS):
+            out = folds == fold
             seen[out] = _probability(x[out], _fit_linear(x[~out], goal[~out]))
         x = np.column_stack([x, seen])
     return Chain(slots, weights)
@@ -175,12 +186,12 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> DataFra
         for whole in batches:
             for batch in slices(whole, 1):
                 p = model.value.predict(model.value.matrix(batch.column(1)))
-                cols = [pa.array(p[:, k]) for k in range(len(SEEDS))]
+                cols = [pa.array(p[:, k]) for k in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), *cols, pa.array(p[:, -1]), pa.array((p[:, -1] >= 0.5).astype(np.int32))],
-                    names=["doc_id", "held_out", *[f"p_{c}" for c in SEEDS], "score", "toxic"],
+                    names=["doc_id", "held_out", *[f"p_{c}" for c in KINDS], "score", "toxic"],
                 )
 
-    schema = ", ".join(["doc_id long", "held_out boolean", *[f"p_{c} double" for c in SEEDS], "score double", "toxic int"])
+    schema = ", ".join(["doc_id long", "held_out boolean", *[f"p_{c} double" for c in KINDS], "score double", "toxic int"])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(score, schema)
