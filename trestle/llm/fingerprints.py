@@ -12,7 +12,7 @@ bins that agree among those that either fills (the Jaccard similarity of the spa
 ranges of doc_id; each range also gets a copy of the document that opens the range below it. No range is global.
 
 Defined cases: null text is the empty text; two empty fingerprints are alike by 1, an empty and another by 0; rows
-with equal doc_id follow each other by text; a table of one document is its own next; other columns are ignored.
+with equal doc_id follow each other by text; a null doc_id comes after all others; a table of one document is its own next; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,13 +181,13 @@ def _ranges(docs: DataFrame) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """``range``, ``guest``, ``doc_id``, ``text``, sorted: within a range a row's next document is the row below it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    number = _ranges(rows.select("doc_id"))
+    number = F.coalesce(_ranges(rows.select("doc_id")), F.lit(0).cast("long"))
     # one row per range (at most MOST_RANGES): which document opens it, and which range that document also closes
     tops = rows.select("doc_id", number.alias("range")).groupBy("range").agg(F.max("doc_id").alias("top"))
     order = Window.orderBy("range")
     goes = tops.select("top", F.coalesce(F.lead("range").over(order), F.first("range").over(order.rowsBetween(Window.unboundedPreceding, 0)))
                        .alias("also"))
-    dealt = rows.withColumn("range", number).join(F.broadcast(goes), F.col("doc_id") == F.col("top"), "left")
+    dealt = rows.withColumn("range", number).join(F.broadcast(goes), F.col("doc_id").eqNullSafe(F.col("top")), "left")
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("also").alias("range"), F.lit(1).alias("guest"))
     spread = dealt.select("doc_id", "text", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("g"))
