@@ -1,6 +1,7 @@
 """Corpus operators on a small table with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -125,10 +126,13 @@ def _line_brute(texts):
             x = parent[x]
         return x
 
-    for a in range(len(names)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if 9 * both >= 4 * (len(sets[a]) + len(sets[b])):
+    lists = {}
+    for a, x in enumerate(sets):
+        shared = Counter(b for g in x for b in lists.get(g, ()))
+        for g in x:
+            lists.setdefault(g, []).append(a)
+        for b, both in shared.items():
+            if 9 * both >= 4 * (len(x) + len(sets[b])):
                 parent[root(a)] = root(b)
     places = {}
     for a, x in enumerate(names):
@@ -153,9 +157,10 @@ def _removed(spark, texts):
     return {r.doc_id: list(r.removed_lines) for r in line_dedup.line_report(made).collect()}
 
 
-@pytest.mark.parametrize("tile", [256, 8])
-def test_line_dedup_links_lines_that_the_hub_does_not_take(spark, monkeypatch, tile):
-    monkeypatch.setattr(line_dedup, "TILE", tile, raising=False)
+@pytest.mark.parametrize(("tile", "partners"), [(256, 16), (8, 1)])
+def test_line_dedup_links_lines_that_the_hub_does_not_take(spark, monkeypatch, tile, partners):
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    monkeypatch.setattr(line_dedup, "MOST_PARTNERS", partners)
     rng = random.Random(11)
     hub, out = _family(rng, 60)
     rng.shuffle(out)
@@ -164,10 +169,43 @@ def test_line_dedup_links_lines_that_the_hub_does_not_take(spark, monkeypatch, t
     assert _removed(spark, texts) == want and sum(map(len, want.values())) >= 60
 
 
-def test_line_dedup_second_hub_is_outside_of_the_first_component(spark):
-    """Of a bucket's components the second star takes its line from another one than the first star did."""
-    rows = spark.createDataFrame([(1, 10, 9, 10, 4), (1, 11, 5, 10, 4), (1, 12, 3, 12, 4), (1, 13, 1, 13, 4)], "key long, h1 long, n long, label long, size long")
-    assert sorted(tuple(r) for r in line_dedup._second_stars(rows).collect()) == [(12, 10), (12, 11), (12, 13)]
+@pytest.mark.parametrize("tile", [256, 2])
+def test_line_dedup_tiles_link_all_pairs_of_a_bucket(spark, monkeypatch, tile):
+    """Whatever the chunks, each line with a near partner of a smaller hash hands one on; others hand on nothing."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rng = random.Random(13)
+    hub, out = _family(rng, 12)
+    named = spark.createDataFrame([(k, x) for k, x in enumerate([hub, *out])], "h1 long, norm string")
+    held = line_dedup.sketches(named, named)
+    tiles = line_dedup.dealt(named.selectExpr("7L as key", "h1"), held).selectExpr("*", "h1 as label")
+    got = {(r.u, r.v) for r in line_dedup.tile_links(tiles, held).collect()}
+    sets = [{x[j : j + 8] for j in range(len(x) - 7)} for x in [hub, *out]]
+    near = {(a, b) for a in range(25) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert got == near
+    monkeypatch.setattr(line_dedup, "MOST_PARTNERS", 1)
+    first = [(r.u, r.v, r.more) for r in line_dedup.tile_links(tiles, held).collect()]
+    assert {(a, b) for a, b, _ in first} <= near and {a for a, *_ in first} == {a for a, _ in near} and all(m for *_, m in first)
+
+
+def test_line_dedup_recall_on_the_corpus(spark):
+    """All links of a corpus by brute force, and unbroken lines that differ in their first letter."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    rng = random.Random(14)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(121)) for _ in range(40)]
+    # ASCII letters only, so that Python and Java lower them alike
+    texts = [(r.text or "").encode("ascii", "ignore").decode().lower() for r in spark.read.parquet(path).select("text").collect()]
+    texts = [*["\n".join(x.strip(" \t\r\v\f") or "|" for x in t.split("\n")) for t in texts], *keys, *["z" + k[1:] for k in keys]]
+    want, got = _line_brute(texts), _removed(spark, texts)
+    lost = sum(len(set(want[i]) - set(got[i])) for i in want)
+    assert sum(map(len, want.values())) > 100 and lost <= 0.01 * sum(map(len, want.values()))
+    assert not sum(len(set(got[i]) - set(want[i])) for i in want) > lost and all(got[len(texts) - 1 - k] == [0] for k in range(40))
+
+
+@pytest.mark.parametrize("line", ["x", "ab" * 4, "z" * 9, "wort " * 30_000])
+def test_line_dedup_of_short_repeated_and_long_lines(spark, line):
+    assert _removed(spark, [line, f"\n{line} ", f"{line}\n{line}"]) == {0: [], 1: [1], 2: [0, 1]}
 
 
 def test_line_dedup_finds_unbroken_lines(spark):
@@ -247,6 +285,43 @@ def test_fingerprints_follow_the_next_document(docs, rows, none):
     assert np.array_equal(p.spliced(3, q, 2).sums[0], fingerprints.PrefixHash.of("abczc").sums[0])
 
 
+def test_fingerprints_against_whole_span_sets(spark, docs, rows):
+    """Likeness against exact span sets; extensions against the texts; equal texts, equal fingerprints; null ids last."""
+    order = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
+    follows = {i: order[(k + 1) % len(order)][1] or "" for k, (i, *_) in enumerate(order)}
+    text = {i: t or "" for i, t, *_ in rows}
+    spans = lambda t: {t[j : j + 16] for j in range(max(1, len(t) - 15))} if t else set()
+
+    def share(a, b):
+        x, y = spans(a), spans(b)
+        return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+    common = lambda a, b: len(os.path.commonprefix([a, b]))
+    got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    for i, r in got.items():
+        t, nxt = text[i], follows[i]
+        q = len(t) // 3
+        edited = t[: len(t) - q] + nxt[:q]
+        if nxt != t:  # of repeated rows each follows the other
+            assert r.lce_edited == common(t, edited) and r.lce_next == common(t, nxt)
+        assert abs(r.near_edited - share(t, edited)) < 0.15 and abs(r.near_next - share(t, nxt)) < 0.15
+    by_text = {}
+    for i, r in got.items():
+        assert by_text.setdefault(text[i], r.fingerprint) == r.fingerprint
+    alone = spark.createDataFrame([(None, "a b"), (None, None), (3, "c")], "doc_id long, text string")
+    assert [(r.doc_id, r.n_chars) for r in fingerprints.fingerprints(alone).orderBy("n_chars").collect()] == [(None, 0), (3, 1), (None, 3)]
+    assert fingerprints.fingerprints(alone.filter("doc_id is null")).count() == 2
+
+
+def test_bpe_forgets_words_but_no_ids(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_KNOWN", 5)
+    path = vocabulary()
+    want = Counter(len(encoder(path, public_tokenizers.PATTERN).encode_ordinary(t or "")) for _, t, *_ in rows)
+    assert Counter(len(r.ids) for r in bpe.encoded(docs, path, public_tokenizers.PATTERN).collect()) == want
+    one = bpe.digests(spark.createDataFrame([(None, "x y")], "doc_id long, text string"), path, public_tokenizers.PATTERN).first()
+    assert one.doc_id is None and one.n_tokens == 2
+
+
 def test_mixing_meets_budgets(docs, none):
     out = mixing.mixed(docs).toPandas()
     assert out.groupby("epoch").n_tokens.sum().sum() <= 2 * sum(len((t or "").split()) for t in _texts()) + 240
@@ -276,6 +351,24 @@ def _labelled(spark):
     return spark.createDataFrame([*rows, (9999, None)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_classifiers_on_odd_rows(spark, docs, rows, none):
+    """Null, empty and very long texts, clashing columns, an empty table."""
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i, *_ in rows] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    quality, toxic = quality_gbt.scored(docs, labels).collect(), toxicity.scored(docs, labels).collect()
+    assert sorted(r.doc_id for r in quality) == sorted(r.doc_id for r in toxic) == sorted(i for i, *_ in rows)
+    assert all(0 <= r.score <= 1 for r in [*quality, *toxic])
+    assert quality_gbt.scored(none, labels).count() == 0 and toxicity.scored(none, labels).count() == 0
+    assert token_counts.token_counts(none, vocabulary(), public_tokenizers.PATTERN, END_OF_DOCUMENT).count() == 0
+
+
+def test_toxic_kinds_are_learned():
+    x = np.zeros((9, 6))
+    x[:4, :3], x[4:7, 3:] = 1, 1
+    x[8, 5] = 1
+    assert toxicity._grouped(x, 2).tolist() == [0] * 4 + [1] * 3 + [-1, 1] or toxicity._grouped(x, 2).tolist() == [1] * 4 + [0] * 3 + [-1, 0]
+    assert toxicity._grouped(np.zeros((0, 3)), 2).tolist() == [] and toxicity._grouped(np.ones((1, 3)), 2).tolist() == [0]
+
+
 def test_classifiers_on_held_out_rows(spark):
     docs, labels = _labelled(spark)
     truth = {r.doc_id: r for r in labels.collect()}

@@ -8,7 +8,8 @@ bits of the hash, then over the next 12 inside one bucket, then the few document
 a document is then a comparison with its leaf's cut: no leaf, however large, is sorted or collected.
 
 Defined cases: null text has no tokens; null language or source are nodes named ''; a leaf without tokens gets nothing;
-the prefix is the longest whose tokens do not exceed the rest, so no document is cut; rows with equal doc_id in a leaf
+a division's remainder, fewer tokens than children, is
+given to none of them; the prefix is the longest whose tokens do not exceed the rest, so no document is cut; rows with equal doc_id in a leaf
 stand or fall together; equal capacity per weight is settled by name; an empty table gives no rows; other columns are
 kept by ``mixed_documents`` and ignored elsewhere.
 """

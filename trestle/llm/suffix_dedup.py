@@ -1,4 +1,7 @@
-"""Removal of byte strings that repeat across a corpus, exact for every 200-byte string.
+"""Removal of byte strings that repeat across a corpus, for every 200-byte string.
+
+Exact but for collisions of hashes: contexts count as equal if the hash of the gram and the hash of the whole context
+(64 bits each) agree, and so do single windows in what is left of very large groups; all else is compared by bytes.
 
 1. Anchors: of each 200-byte window the 32-byte gram with the least hash. Equal windows have equal anchors at the same
    place, and the windows of one anchor follow each other. A text leaves one row per anchor (about one per 85 bytes):
@@ -15,7 +18,7 @@
 4. Covered bytes are merged per document, and removed.
 
 Strings are judged on the input; matches never cross documents. Defined cases: null text is the empty text; texts
-under 200 bytes lose nothing; equal rows repeat each other; overlapping repeats within a text count; an empty table
+under 200 bytes lose nothing; a text of 2**28 bytes or more is an error; equal rows repeat each other; overlapping repeats within a text count; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -160,6 +163,8 @@ def anchors(raw: bytes) -> tuple[np.ndarray, ...]:
     none = np.empty(0, np.int64)
     if n < SIZE:
         return none.astype(U), none.astype(U), none, none, none
+    if n >= 1 << _POS_BITS:
+        raise ValueError(f"a text of {n} bytes; places are numbered up to {1 << _POS_BITS}")
     total = _sums(np.frombuffer(raw, np.uint8))
     at = np.arange(n - GRAM + 1)
     gram = _hashes(total, at, at + GRAM)
