@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trestle.llm import bpe, line_dedup, minhash, mixing, quality_rules
 from trestle.llm.queries import vocabulary
-from trestle.llm.shared import cut, table
+from trestle.llm.shared import cut, forget, release, table
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: of equal and near-equal lines the first in the corpus stays; a document keeps its row."""
-    return line_dedup.deduplicated(docs)
+    """Operator 5: of equal and near-equal lines the first in the corpus stays; documents left without a line go."""
+    return line_dedup.deduplicated(docs, drop_emptied=True)
 
 
 def near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("line_dedup", fuzzy_lines), ("minhash_near_dedup", near_documents), ("source_mixing", mix), ("byte_bpe", encode)]
 
-#: Fuzzy lines and BPE are not SQL; the tests hold the stages against brute force.
+#: Fuzzy lines and BPE are not SQL; a test holds the rows of run() against a brute-force version of all five stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, before = cut(stage(spark, docs, sf_dir), f"pipeline-{name}"), docs
+        forget(before)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
