@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-from trestle.llm import bpe, fingerprints, line_dedup, minhash, mixing, quality_gbt, quality_rules, suffix_dedup, token_counts, toxicity  # noqa: E402
+from trestle.llm import bpe, fingerprints, line_dedup, minhash, mixing, quality_gbt, quality_rules, samples, suffix_dedup, token_counts, toxicity  # noqa: E402
 from trestle.llm.queries import END_OF_DOCUMENT, vocabulary  # noqa: E402
 from trestle.llm.vocab import encoder  # noqa: E402
 
@@ -361,6 +361,14 @@ def test_classifiers_on_odd_rows(spark, docs, rows, none):
     assert token_counts.token_counts(none, vocabulary(), public_tokenizers.PATTERN, END_OF_DOCUMENT).count() == 0
 
 
+def test_sample_keeps_its_bound_when_an_id_repeats(spark):
+    """Ids 0, 1 and 8 may be learned from, 2 is held out, 7 has no document."""
+    docs = spark.createDataFrame([(0, "b")] * 50 + [(0, "a"), (0, None), (1, None), (2, "c"), (8, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, 1), (7, 1), (8, 1), (None, 1)], "doc_id long, toxic int")
+    got = samples.training_texts(docs, labels, "toxic", 10).select("doc_id", "text", "y").collect()
+    assert sorted(map(tuple, got)) == [(0, "a", 1), (1, None, 0), (8, "c", 1)]
+
+
 def test_toxic_kinds_are_learned():
     x = np.zeros((9, 6))
     x[:4, :3], x[4:7, 3:] = 1, 1

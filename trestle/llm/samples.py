@@ -22,7 +22,10 @@ def training_labels(labels: DataFrame, label: str, most: int) -> DataFrame:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """``doc_id``, ``text``, ``y`` of the sample; its ids (``most`` rows at the very most) are broadcast."""
+    """``doc_id``, ``text``, ``y`` of the sample; its ids (``most`` rows at the very most) are broadcast.
+
+    A document whose id repeats counts once, with its least text, so that the sample keeps its bound; null if all are.
+    """
     ids = training_labels(labels, label, most)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(ids), "doc_id")
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
