@@ -275,3 +275,24 @@ def test_fuzzy_pairs_equal_brute_force(spark):
     made = spark.createDataFrame([(i, a, rows[(i + 1) % 40][0]) for i, (a, _) in enumerate(rows)], "k int, a string, b string")
     got = {r.k: r.ratio for r in made.select("k", pairing.sequence_ratio("a", "b").alias("ratio")).collect()}
     assert got == {i: difflib.SequenceMatcher(None, a, rows[(i + 1) % 40][0]).ratio() for i, (a, _) in enumerate(rows)}
+
+
+def test_near_pairs_compare_a_name_once(spark):
+    import difflib
+
+    names = ["old plate", "cold plate", "hot ring", "hot gear", None, "", "straße 1", "strase 1"]
+    rows = [(i, i % 3 or None, names[i * 7 % 8]) for i in range(96)]
+    calls = spark.sparkContext.accumulator(0)
+    real = pairing.sequence_ratio.func
+
+    def counted(a, b):
+        calls.add(len(a))
+        return real(a, b)
+
+    made = spark.createDataFrame(rows, "k int, g int, name string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(pairing, "sequence_ratio", F.pandas_udf(counted, "double"))
+        got = sorted(tuple(r) for r in pairing.near_pairs(made, ["g"], "k", "name").collect())
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a or "", b or "").ratio()
+    assert got == [(i, j, ratio(a, b)) for i, g, a in rows for j, h, b in rows if i < j and g is not None and g == h and ratio(a, b) >= pairing.FUZZY]
+    assert calls.value <= 2 * 7 * 7

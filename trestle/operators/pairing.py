@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trestle.functions.text import bridge_aliases, bridge_key, matches_split, normalized_stem, report_code, year_of
+from trestle.functions.text import bridge_aliases, bridge_key, matches_split, normalized_stem, report_code, shared_characters, year_of
 
 FUZZY, FRACTION = 0.85, 0.2
 #: Places that one task may sort.
@@ -23,6 +23,24 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def near_pairs(rows: DataFrame, keys: list[str], key: str, name: str, least: float = FUZZY) -> DataFrame:
+    """``k1``, ``k2``, ``ratio``: rows with equal ``keys`` and near-equal names, the smaller ``key`` first.
+
+    Names are compared once, however many rows bear them; what bounds a ratio, lengths and then shared characters, rules
+    pairs out before Python. Rows meet only by names that are near: the work grows with the names and the result.
+    """
+    own = rows.select(*keys, F.col(key), F.coalesce(name, F.lit("")).alias("name_"))
+    names = own.select(*keys, "name_").distinct()
+    a, b, total = F.col("a_"), F.col("b_"), F.length("a_") + F.length("b_")
+    bounded = lambda shared: F.when(total == 0, 1.0).otherwise(F.lit(2.0) * shared / total) >= least
+    met = names.withColumnRenamed("name_", "a_").join(names.withColumnRenamed("name_", "b_"), keys)
+    met = met.filter(bounded(F.least(F.length(a), F.length(b)))).select("a_", "b_").distinct().filter(bounded(shared_characters(a, b)))
+    near = met.withColumn("ratio", sequence_ratio("a_", "b_")).filter(F.col("ratio") >= least)
+    left = own.withColumnsRenamed({"name_": "a_", key: "k1"}).join(near, "a_")
+    right = own.withColumnsRenamed({"name_": "b_", key: "k2"})
+    return left.join(right, [*keys, "b_"]).filter("k1 < k2").select("k1", "k2", "ratio")
+
+
 def inventory(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Word files of the train and the label folders, from a listing (``path``)."""
     path = F.regexp_replace("path", r"\\", "/")
