@@ -296,3 +296,23 @@ def test_near_pairs_compare_a_name_once(spark):
     ratio = lambda a, b: difflib.SequenceMatcher(None, a or "", b or "").ratio()
     assert got == [(i, j, ratio(a, b)) for i, g, a in rows for j, h, b in rows if i < j and g is not None and g == h and ratio(a, b) >= pairing.FUZZY]
     assert calls.value <= 2 * 7 * 7
+
+
+def test_filling_pairs_distinct_texts_not_rows(spark):
+    rows = spark.createDataFrame([(i % 2, i, ["deck north", "pier", None, ""][i % 4], ["crack", "wide crack", "rust"][i % 3], None) for i in range(600)], "report_id int, row_pos int, location string, disease_type string, development string")
+    told = spark.createDataFrame([(j % 3, 500 - j, ["deck", "", "pier 2"][j % 3], ["", "rust", "crack"][j % 3] if j % 2 else None, None if j % 7 == 0 else f"d{j}") for j in range(500)], "report_id int, model_pos int, location string, disease_type string, development string")
+    fits = lambda a, b: bool(a) and bool(b) and (a in b or b in a)
+    told_rows = sorted(told.collect(), key=lambda m: m.model_pos)
+    first = lambda r: next((m.development for m in told_rows if m.report_id == r.report_id and (fits(r.location, m.location) or fits(r.disease_type, m.disease_type))), None)
+    filled = records.fill_from_model(rows, told, ["development"])
+    assert {r.row_pos: r.development for r in filled.collect()} == {r.row_pos: first(r) for r in rows.collect()}
+    plan = filled._jdf.queryExecution().executedPlan()
+    filled.collect()
+    sizes, stack = [], [plan]
+    while stack:
+        node = stack.pop()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            sizes.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        stack += [kids.apply(i) for i in range(kids.size())] + ([node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else []) + ([node.plan()] if "QueryStage" in node.nodeName() else [])
+    assert sizes and max(sizes) <= 600
