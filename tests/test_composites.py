@@ -316,3 +316,52 @@ def test_filling_pairs_distinct_texts_not_rows(spark):
         kids = node.children()
         stack += [kids.apply(i) for i in range(kids.size())] + ([node.executedPlan()] if "AdaptiveSparkPlan" in node.nodeName() else []) + ([node.plan()] if "QueryStage" in node.nodeName() else [])
     assert sizes and max(sizes) <= 600
+
+
+def test_search_in_pieces_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdéß深") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(500)]
+    blocks = spark.createDataFrame([(i // 7, i % 7, t) for i, t in enumerate(texts)], "report_id long, block_pos long, text string").repartition(2)
+    asked = spark.createDataFrame([(q, texts[q * 11] + " " + words[q]) for q in range(30)] + [(30, "zzz")], "query_id int, query string")
+    grams = lambda df, c: {r[0]: set(r[1]) for r in df.select(c, X.ngrams(F.col("text" if "text" in df.columns else "query"))).collect()}
+    held = grams(blocks.withColumn("i", F.col("report_id") * 7 + F.col("block_pos")), "i")
+    want = set()
+    for q, own in grams(asked, "query_id").items():
+        df = {g: sum(g in h for h in held.values()) for g in own}
+        scores = {i: sum(retrieval.SCALE // df[g] for g in own & h) for i, h in held.items() if own & h}
+        want |= {(q, k + 1, i // 7, i % 7, scores[i]) for k, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:8])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = {tuple(r) for r in retrieval.search_batch(blocks, asked).select("query_id", "rank", "report_id", "block_pos", "score").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_scores_are_exact_beyond_floats(monkeypatch):
+    np = retrieval.np
+    monkeypatch.setattr(retrieval, "DENSE", 1)
+    for big in (1, 1 << 54):
+        table = retrieval.Weights([(0, [0, 1, 2]), (1, [2])], np.array([5, big, 3]), np.array([9, 1, 1]))
+        assert table.scores(np.array([0, 0, 2, 2]), np.array([0, 1, 1, 2]), 3).tolist() == [[5 + big, 0], [0, 0], [big + 3, 3]]
+
+
+def test_large_steps_are_sorted_lists(monkeypatch):
+    grams = ["ab", "abc", "bcd", "cd", "abcd", "tokens", "深度"]
+    texts = ["abcd", "", "xcdx", "a深度b", "tokens,ab"]
+    want = [(i, k) for i, t in enumerate(texts) for k, g in enumerate(grams) if g in t]
+    for most in (retrieval.MOST_STEPS, 1):
+        monkeypatch.setattr(retrieval, "MOST_STEPS", most)
+        assert list(zip(*(x.tolist() for x in retrieval.GramTable(grams).found(texts)))) == want
+
+
+def test_lines_are_normalized_once_and_hits_are_broadcast(spark, tmp_path):
+    from trestle.plans import catalogue
+
+    spark.createDataFrame([(1, "a\u2003 b\t c\n\u2003\n\n x ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    blocks = catalogue.line_blocks(spark, str(tmp_path))
+    assert [tuple(r) for r in blocks.select("block_pos", "text").collect()] == [(0, "a\u2003 b c"), (3, "x")]
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("trim") == 1
+    hits = spark.range(3).select(F.col("id").alias("report_id"), F.lit(0).cast("long").alias("block_pos"))
+    assert "ResolvedHint (strategy=broadcast)" in retrieval.evidence(blocks, hits, few=True)._jdf.queryExecution().analyzed().toString()

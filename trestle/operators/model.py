@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from trestle.operators import retrieval
 from trestle.operators.pairing import checkpointed
 
+#: Hits that are handed to all tasks.
+FEW = 500_000
 ANSWER = "status string, answer string, confidence string, cited array<string>, error string"
 FENCE = r"(?is)```(?:json)?\s*(.*?)```"
 THOUGHT = r"(?is)<think>.*?</think>"
@@ -84,8 +86,10 @@ def generate(prompts: DataFrame, backend: Callable[[], Callable[[str, str, int],
 def answers(blocks: DataFrame, questions: DataFrame, backend, k: int = 12, posts: DataFrame | None = None, shown: str = "query") -> DataFrame:
     """Per question (query_id, query): status, answer, confidence, and the cited evidence, always with its report.
     ``shown``: the column that the model reads, where it differs from what is searched for."""
-    hits = retrieval.evidence(blocks, retrieval.search_batch(blocks, questions, k, posts=posts))
-    # k rows a question: cut, so that the search runs once for the prompts and the check of what they cite
+    # k rows a question: cut, so that the search runs once, and their number is known before their blocks are read
+    found = checkpointed(retrieval.search_batch(blocks, questions, k, posts=posts))
+    hits = retrieval.evidence(blocks, found, few=found.count() <= FEW)
+    # cut again for the prompts and the check of what they cite
     hits = checkpointed(hits.withColumn("address", F.concat_ws("/", "report_id", "source_id")))
     given = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), F.col("address"), F.lit("] "), F.col("quote")).alias("line"))))
     packed = hits.groupBy("query_id").agg(F.array_join(F.transform(given, lambda x: x["line"]), "\n").alias("evidence"))

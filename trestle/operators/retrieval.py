@@ -8,15 +8,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trestle.functions.text import GRAM_SIZES, compact, ngrams
+from trestle.functions.text import GRAM_SIZES, ngrams
 
 #: Scores are whole numbers: parts of SCALE per gram, so that sums don't depend on their order.
 SCALE = 1_000_000_000_000
 #: Grams of the queries that are looked for in one pass over the blocks, and cells of the table of queries by grams.
 MOST_GRAMS, MOST_CELLS = 100_000, 1 << 24
+#: Grams that make the dense part of a score.
+DENSE = 512
+#: Cells of one table from beginnings to longer ones.
+MOST_STEPS = 1 << 22
 #: Passes; more queries than that are joined with the postings instead.
 MOST_PASSES = 20
 #: Characters of blocks that are looked at together.
@@ -31,67 +36,74 @@ def postings(blocks: DataFrame) -> DataFrame:
 
 
 class GramTable:
-    """Where given grams occur in many texts at once, exactly: characters are numbered by their place in the grams'
-    alphabet (16 bits each), so that up to four make one whole number; longer grams are tokens, told by their text."""
+    """Where given grams occur in many texts at once, exactly: the grams' characters are numbered, and tables lead from
+    the number of a beginning and the next character to that of the longer beginning; where a table would be large, it is
+    a sorted list. Longer grams are tokens, told by their text."""
 
     def __init__(self, grams: list[str]):
         self.size = len(grams)
-        letters = sorted({ord(c) for g in grams for c in g})
-        if len(letters) >= 1 << 16:
-            raise ValueError("too many different characters for one pass")
-        self.letters = np.array(letters, np.uint32)
-        self.keys, self.ids, self.tokens = {}, {}, {}
-        for n in GRAM_SIZES:
-            own = [(k, g) for k, g in enumerate(grams) if len(g) == n]
-            key = self._keys(self._numbers("".join(g for _, g in own)).reshape(-1, n).T) if own else np.empty(0, np.uint64)
-            order = np.argsort(key)
-            self.keys[n], self.ids[n] = key[order], np.array([k for k, _ in own], np.int64)[order]
-        for k, g in enumerate(grams):
-            if len(g) > max(GRAM_SIZES):
-                self.tokens[g] = k
-        self.lengths = np.array(sorted({len(g) for g in self.tokens}), np.int64)
-
-    def _numbers(self, text: str) -> np.ndarray:
-        """Places in the alphabet, from 1; 0 for any other character."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.searchsorted(self.letters, points)
-        at[at == len(self.letters)] = 0
-        return np.where(self.letters[at] == points, at + 1, 0).astype(np.uint64) if len(self.letters) else np.zeros(len(points), np.uint64)
-
-    @staticmethod
-    def _keys(columns) -> np.ndarray:
-        out = columns[0].copy()
-        for c in columns[1:]:
-            out = (out << np.uint64(16)) | c
-        return out
+        short = [(g, k) for k, g in enumerate(grams) if len(g) <= max(GRAM_SIZES)]
+        letters = sorted({ord(c) for g, _ in short for c in g})
+        self.base = len(letters) + 1
+        self.letters = np.zeros(0x110000, np.int32)
+        self.letters[letters] = np.arange(1, self.base)
+        self.steps, self.ids, nodes = [], [], {chr(c): i + 1 for i, c in enumerate(letters)}
+        for n in range(2, max(GRAM_SIZES) + 1):
+            longer = {p: i + 1 for i, p in enumerate(sorted({g[:n] for g, _ in short if len(g) >= n}))}
+            at = np.array([nodes[p[:-1]] * self.base + self.letters[ord(p[-1])] for p in longer], np.int64)
+            if (len(nodes) + 1) * self.base <= MOST_STEPS:
+                table = np.zeros((len(nodes) + 1) * self.base, np.int32)
+                table[at] = np.arange(1, len(longer) + 1)
+                self.steps.append((None, table))
+            else:
+                order = np.argsort(at)
+                self.steps.append((at[order], (order + 1).astype(np.int32)))
+            ids = np.full(len(longer) + 1, -1, np.int64)
+            for g, k in short:
+                if len(g) == n:
+                    ids[longer[g]] = k
+            self.ids.append(ids)
+            nodes = longer
+        self.tokens = {g: k for k, g in enumerate(grams) if len(g) > max(GRAM_SIZES)}
+        self.shortest = min(map(len, self.tokens), default=0)
 
     def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, gram) of every gram that a text has, ascending, each once."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        owner, numbers = np.repeat(np.arange(len(texts)), sizes), self._numbers("".join(texts))
-        pairs = [np.empty(0, np.int64)]
-        for n, keys in self.keys.items():
-            m = len(numbers) - n + 1
-            if m <= 0 or not len(keys):
-                continue
-            columns = [numbers[i : i + m] for i in range(n)]
-            start = np.flatnonzero((owner[:m] == owner[n - 1 :]) & np.logical_and.reduce([c > 0 for c in columns]))
-            key = self._keys([c[start] for c in columns])
-            at = np.searchsorted(keys, key)
-            at[at == len(keys)] = 0
-            hit = keys[at] == key
-            pairs.append(owner[start[hit]] * self.size + self.ids[n][at[hit]])
+        """(text, gram) of every gram that a compact text has, ascending, each once."""
+        # no gram has a line's end in it, nor begins with nothing
+        points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = np.uint32 if len(texts) * self.size < 1 << 32 else np.int64
+        numbers = np.where(points == 10, np.int32(0), self.letters[points])
+        owner = np.repeat(np.arange(len(texts), dtype=kind), [len(t) + 1 for t in texts])
+        pairs, node = [np.empty(0, kind)], numbers
+        for (keys, table), ids in zip(self.steps, self.ids, strict=True):
+            node, numbers = node[:-1], numbers[1:]
+            key = (node if keys is None else node.astype(np.int64)) * self.base + numbers
+            if keys is None:
+                node = np.where(numbers > 0, table[key], 0)
+            elif len(keys):
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                node = np.where((keys[at] == key) & (numbers > 0) & (node > 0), table[at], 0)
+            else:
+                node = np.zeros(len(key), np.int32)
+            start = np.flatnonzero(node)
+            gram = ids[node[start]]
+            if (ids[1:] < 0).any():
+                start, gram = start[gram >= 0], gram[gram >= 0]
+            pairs.append(owner[start] * kind(self.size) + gram.astype(kind))
         if self.tokens:
-            whole = [(i, self.tokens[x]) for i, t in enumerate(texts) if len(t) >= self.lengths[0] for x in TOKEN.findall(t) if x in self.tokens]
-            pairs.append(np.array([i * self.size + k for i, k in whole], np.int64))
-        both = np.unique(np.concatenate(pairs))
-        return both // self.size, both % self.size
+            whole = [(i, self.tokens[x]) for i, t in enumerate(texts) if len(t) >= self.shortest for x in TOKEN.findall(t) if x in self.tokens]
+            pairs.append(np.array([i * self.size + k for i, k in whole], kind))
+        both = np.sort(np.concatenate(pairs))
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        block = both // kind(max(1, self.size))
+        return block.astype(np.int64), (both - block * kind(self.size)).astype(np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of batches with a bounded number of characters; one row at least."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of batches with a bounded number of characters, one row at least, and the compact texts of their first
+    column, which are in small letters; Python's white space is that of :func:`compact`."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
+        texts = ["".join((t or "").split()) for t in batch.column(0).to_pylist()]
         lo, size = 0, 0
         for hi, t in enumerate(texts):
             if hi > lo and size + len(t) > PIECE:
@@ -102,47 +114,90 @@ def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield batch.slice(lo), texts[lo:]
 
 
-def frequencies(compacted: DataFrame, grams: GramTable) -> np.ndarray:
-    """In how many blocks (column ``c``) each gram of the table occurs. One number a gram comes back to the driver."""
+def frequencies(lowered: DataFrame, names: list[str]) -> np.ndarray:
+    """In how many blocks (column ``c``, in small letters) each gram occurs. One number a gram comes back to the driver."""
 
     def count(batches):
+        grams = GramTable(names)
         total = np.zeros(grams.size, np.int64)
-        for _, texts in _pieces(batches, 0):
+        for _, texts in _pieces(batches):
             total += np.bincount(grams.found(texts)[1], minlength=grams.size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
-    out = np.zeros(grams.size, np.int64)
-    for row in compacted.select("c").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    out = np.zeros(len(names), np.int64)
+    for row in lowered.select("c").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[row["gram"]] = row["n"]
     return out
 
 
-def _best(compacted: DataFrame, grams: GramTable, asked: list[tuple[object, list[int]]], weights: np.ndarray, k: int) -> DataFrame:
-    """``q`` (number of the query), report_id, block_pos, score: the best blocks of each piece, for each query."""
-    schema = f"q int, report_id {compacted.schema['report_id'].dataType.simpleString()}, block_pos {compacted.schema['block_pos'].dataType.simpleString()}, score long"
+class Weights:
+    """Scores of texts for many queries: grams that many texts and queries share make a dense product, the others are
+    added one by one. Whole numbers below 2 ** 53 add up exactly as floats in any order; larger ones stay integers."""
+
+    def __init__(self, asked: list[tuple[object, list[int]]], weights: np.ndarray, df: np.ndarray):
+        self.n, kind = len(asked), np.float64 if max(int(weights[own].sum()) for _, own in asked) < 1 << 53 else np.int64
+        gram, q = (np.concatenate(x) for x in zip(*[(np.array(own, np.int64), np.full(len(own), k, np.int64)) for k, (_, own) in enumerate(asked)], strict=True))
+        order = np.argsort(gram, kind="stable")
+        self.q, self.weights = q[order], weights.astype(kind)
+        self.first = np.searchsorted(gram[order], np.arange(len(weights) + 1))
+        often = np.argsort(-df * np.diff(self.first), kind="stable")[:DENSE]
+        self.place = np.full(len(weights), -1, np.int64)
+        self.place[often] = np.arange(len(often))
+        self.cells = np.zeros((len(often), self.n), kind)
+        at = self.place[gram]
+        self.cells[at[at >= 0], q[at >= 0]] = self.weights[gram[at >= 0]]
+
+    def scores(self, block: np.ndarray, gram: np.ndarray, size: int) -> np.ndarray:
+        """Texts by queries, from the (text, gram) that occur."""
+        at = self.place[gram]
+        has = np.zeros((size, len(self.cells)), self.cells.dtype)
+        has[block[at >= 0], at[at >= 0]] = 1
+        out = (has @ self.cells).astype(np.int64)
+        block, gram, flat = block[at < 0], gram[at < 0], out.reshape(-1)
+        times = self.first[gram + 1] - self.first[gram]
+        ends = np.cumsum(times)
+        lo = 0
+        while lo < len(gram):
+            # some millions of additions together
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 22))))
+            n = times[lo:hi]
+            item = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[gram[lo:hi]], n)
+            cell, each = np.repeat(block[lo:hi] * self.n, n) + self.q[item], np.repeat(self.weights[gram[lo:hi]], n)
+            if each.dtype == np.float64:
+                base = block[lo] * self.n
+                sums = np.bincount(cell - base, each).astype(np.int64)
+                flat[base : base + len(sums)] += sums
+            else:
+                np.add.at(flat, cell, each)
+            lo = hi
+        return out
+
+
+def _best(lowered: DataFrame, names: list[str], asked: list[tuple[object, list[int]]], df: np.ndarray, k: int) -> DataFrame:
+    """``q`` (number of the query), report_id, block_pos, score: the best blocks of each piece, for each query, but those
+    that ``k`` blocks of the task are better than."""
+    schema = f"q int, report_id {lowered.schema['report_id'].dataType.simpleString()}, block_pos {lowered.schema['block_pos'].dataType.simpleString()}, score long"
 
     def score(batches):
-        cells = np.zeros((grams.size, len(asked)), np.int64)
-        for q, (_, own) in enumerate(asked):
-            cells[own, q] = weights[own]
-        for batch, _ in _pieces(batches, 0):
-            batch = batch.sort_by([("report_id", "ascending"), ("block_pos", "ascending")])
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            block, gram = grams.found(texts)
-            sums, rows = np.zeros((len(texts), len(asked)), np.int64), max(1, (1 << 22) // len(asked))
-            for lo in range(0, len(block), rows):
-                part, at = block[lo : lo + rows], cells[gram[lo : lo + rows]]
-                first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                sums[part[first]] += np.add.reduceat(at, first)
-            # stable: of equal scores the first block wins
-            top = np.argsort(-sums, axis=0, kind="stable")[:k]
-            value = np.take_along_axis(sums, top, axis=0)
-            at, q = np.nonzero(value > 0)
-            picked = pa.array(top[at, q])
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), batch.column(1).take(picked), batch.column(2).take(picked), pa.array(value[at, q])], names=["q", "report_id", "block_pos", "score"])
-
-    return compacted.select("c", "report_id", "block_pos").mapInArrow(score, schema)
+        grams, least = GramTable(names), np.ones(len(asked), np.int64)
+        table = Weights(asked, np.where(df > 0, SCALE // np.maximum(df, 1), 0), df)
+        for batch, texts in _pieces(batches):
+            order = pa.compute.sort_indices(batch, [(batch.schema.names[1], "ascending"), (batch.schema.names[2], "ascending")])
+            batch, texts = batch.take(order), [texts[i] for i in order.to_pylist()]
+            sums = table.scores(*grams.found(texts), len(texts))
+            if len(texts) > k:
+                least = np.maximum(least, np.partition(sums, len(texts) - k, axis=0)[len(texts) - k])
+            at, q = np.nonzero(sums >= least)
+            value = sums[at, q]
+            # of equal scores the first block wins
+            best = np.lexsort((at, -value, q))
+            first = np.searchsorted(q[best], np.arange(len(asked)))
+            best = best[np.arange(len(best)) - first[q[best]] < k]
+            picked = pa.array(at[best])
+            yield pa.RecordBatch.from_arrays([pa.array(q[best], pa.int32()), batch.column(1).take(picked), batch.column(2).take(picked), pa.array(value[best])], names=["q", "report_id", "block_pos", "score"])
+
+    return lowered.select("c", "report_id", "block_pos").mapInArrow(score, schema)
 
 
 def write_index(blocks: DataFrame, path: str) -> None:
@@ -200,12 +255,11 @@ def _search_pass(blocks: DataFrame, grams: DataFrame, k: int, within: str | None
     if not asked:
         return None
     names = sorted({g for own in asked.values() for g in own})
-    place, table = {g: i for i, g in enumerate(names)}, GramTable(names)
-    compacted = blocks.select(compact(F.col("text")).alias("c"), "report_id", "block_pos")
-    n = frequencies(compacted, table)
-    weights = np.where(n > 0, SCALE // np.maximum(n, 1), 0)
+    place = {g: i for i, g in enumerate(names)}
+    lowered = blocks.select(F.lower("text").alias("c"), "report_id", "block_pos")
+    n = frequencies(lowered, names)
     numbered = [(q, [place[g] for g in own]) for q, own in asked.items()]
-    best = _best(compacted if within is None else compacted.filter(F.col("report_id") == within), table, numbered, weights, k)
+    best = _best(lowered if within is None else lowered.filter(F.col("report_id") == within), names, numbered, n, k)
     ids = blocks.sparkSession.createDataFrame([(i, q) for i, (q, _) in enumerate(numbered)], f"q2 int, query_id {grams.schema['query_id'].dataType.simpleString()}")
     return best.join(F.broadcast(ids), F.col("q") == F.col("q2")).select("query_id", "report_id", "block_pos", "score")
 
@@ -215,8 +269,10 @@ def search(blocks: DataFrame, query: str, k: int = 8, within: str | None = None,
     return search_batch(blocks, one, k, within, posts).drop("query_id")
 
 
-def evidence(blocks: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits with their source and quote; always with the report, as ``source_id`` repeats between reports."""
+def evidence(blocks: DataFrame, hits: DataFrame, few: bool = False) -> DataFrame:
+    """Hits with their source and quote; always with the report, as ``source_id`` repeats between reports. ``few`` hits
+    are handed to all tasks, so that the blocks aren't shuffled."""
+    hits = F.broadcast(hits) if few else hits
     side = blocks.select(F.col("report_id").alias("r2"), F.col("block_pos").alias("p2"), "source_id", F.substring("text", 1, QUOTE).alias("quote"))
     return hits.join(side, (F.col("report_id") == F.col("r2")) & (F.col("block_pos") == F.col("p2"))).drop("r2", "p2")
 
