@@ -365,3 +365,13 @@ def test_lines_are_normalized_once_and_hits_are_broadcast(spark, tmp_path):
     assert blocks._jdf.queryExecution().optimizedPlan().toString().count("trim") == 1
     hits = spark.range(3).select(F.col("id").alias("report_id"), F.lit(0).cast("long").alias("block_pos"))
     assert "ResolvedHint (strategy=broadcast)" in retrieval.evidence(blocks, hits, few=True)._jdf.queryExecution().analyzed().toString()
+
+
+def test_top_grams_equal_counting_all(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("aab cé深-") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["zz token-9 zz"] * 90
+    blocks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "report_id long, block_pos long, text string").repartition(3)
+    want = retrieval.document_frequency(retrieval.postings(blocks)).orderBy(F.desc("df"), "gram").collect()
+    for n in (1, 20, 60, 5000):
+        made = retrieval.top_grams(blocks, n)
+        assert made.collect() == want[:n] and "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()

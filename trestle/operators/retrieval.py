@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trestle.functions.text import GRAM_SIZES, ngrams
+from trestle.operators.pairing import checkpointed
 
 #: Scores are whole numbers: parts of SCALE per gram, so that sums don't depend on their order.
 SCALE = 1_000_000_000_000
@@ -217,6 +218,88 @@ def document_frequency(posts: DataFrame) -> DataFrame:
     return posts.groupBy("gram").agg(F.count("*").alias("df"))
 
 
+def _tallied(batches, grams_of) -> Iterator[pa.RecordBatch]:
+    """``gram``, ``n``: in how many texts; handed on now and then, so that a task holds a bounded number of grams."""
+    seen: dict[str, int] = {}
+    told = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["gram", "n"])
+    for _, texts in _pieces(batches):
+        for g, n in grams_of(texts):
+            seen[g] = seen.get(g, 0) + n
+        if len(seen) > MOST_GRAMS:
+            yield told()
+            seen.clear()
+    yield told()
+
+
+def _told_apart(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and in how many texts each occurs."""
+    order = np.lexsort((owner, key))
+    owner, key = owner[order], key[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    once = new | np.append(True, owner[1:] != owner[:-1])[: len(key)]
+    starts = np.flatnonzero(new)
+    return key[starts], np.add.reduceat(once.astype(np.int64), starts) if len(starts) else starts
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all texts, each behind its text by a line's end, and the number of their text."""
+    points = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return points, np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+
+
+def _pairs_of(texts: list[str]) -> Iterator[tuple[str, int]]:
+    points, owner = _points(texts)
+    at = np.flatnonzero((points[:-1] != 10) & (points[1:] != 10))
+    keys, n = _told_apart(owner[at], points[at] << 21 | points[at + 1])
+    return ((chr(k >> 21) + chr(k & 0x1FFFFF), c) for k, c in zip(keys.tolist(), n.tolist(), strict=True))
+
+
+def _longer_of(texts: list[str], pairs: set[str], letters: str) -> Iterator[tuple[str, int]]:
+    """Grams of three and four characters, and longer tokens, of frequent pairs only."""
+    points, owner = _points(texts)
+    table = np.zeros(0x110000, np.int64)
+    table[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    base, numbers = len(letters) + 1, table[points]
+    known = np.array(sorted((letters.index(p[0]) + 1) * base + letters.index(p[1]) + 1 for p in pairs), np.int64)
+    key = numbers[:-1] * base + numbers[1:]
+    good = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+    for size in (3, 4):
+        m = len(good) - size + 2
+        if m > 0:
+            at = np.flatnonzero(np.logical_and.reduce([good[i : i + m] for i in range(size - 1)]))
+            whole = numbers[at]
+            for i in range(1, size):
+                whole = whole * base + numbers[at + i]
+            for k, c in zip(*(x.tolist() for x in _told_apart(owner[at], whole)), strict=True):
+                yield "".join(letters[k // base**i % base - 1] for i in reversed(range(size))), c
+    for t in texts:
+        for x in {x for x in TOKEN.findall(t) if len(x) > max(GRAM_SIZES) and all(x[i : i + 2] in pairs for i in range(len(x) - 1))}:
+            yield x, 1
+
+
+def top_grams(blocks: DataFrame, n: int) -> DataFrame:
+    """``gram``, ``df``: the ``n`` grams that most blocks have, by df and gram.
+
+    A block that has a gram has all pairs of characters in it: pairs are counted first, all of them, and then only the
+    longer grams whose pairs are each as frequent as the n-th pair. Postings are never made.
+    """
+    lowered = blocks.select(F.lower("text").alias("c"))
+    count = lambda grams_of: lowered.mapInArrow(lambda batches: _tallied(batches, grams_of), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("df"))
+    pairs = checkpointed(count(_pairs_of))
+    first = pairs.orderBy(F.desc("df")).limit(n).collect()
+    least = first[-1]["df"] if len(first) == n else 1
+    frequent = pairs.filter(F.col("df") >= least)
+    known = {r["gram"] for r in frequent.select("gram").collect()}
+    letters = "".join(sorted(set("".join(known))))
+    found = frequent
+    if known:
+        if (len(letters) + 1) ** max(GRAM_SIZES) >= 1 << 63:
+            found = document_frequency(postings(blocks))
+        else:
+            found = frequent.unionByName(count(lambda texts: _longer_of(texts, known, letters)))
+    return found.orderBy(F.desc("df"), "gram").limit(n)
+
+
 def search_batch(blocks: DataFrame, queries: DataFrame, k: int = 8, within: str | None = None, posts: DataFrame | None = None) -> DataFrame:
     """The ``k`` best blocks of each query (``query_id``, ``query``): ``query_id``, rank, report_id, block_pos, score.
 
