@@ -375,3 +375,11 @@ def test_top_grams_equal_counting_all(spark):
     for n in (1, 20, 60, 5000):
         made = retrieval.top_grams(blocks, n)
         assert made.collect() == want[:n] and "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_word_files_are_handed_on_in_small_batches(monkeypatch):
+    rows = ((f"f{i}", b"x" * 1000) for i in range(5000))
+    made = list(docx._bounded(rows, docx.FILES))
+    assert sum(b.num_rows for b in made) == 5000 and max(b.nbytes for b in made) < 2 * docx.PIECE
+    whole = docx.pa.RecordBatch.from_pylist([{"a": i} for i in range(100)])
+    assert [len(x) for x in docx._slices([whole])] == [16] * 6 + [4]
