@@ -383,3 +383,14 @@ def test_word_files_are_handed_on_in_small_batches(monkeypatch):
     assert sum(b.num_rows for b in made) == 5000 and max(b.nbytes for b in made) < 2 * docx.PIECE
     whole = docx.pa.RecordBatch.from_pylist([{"a": i} for i in range(100)])
     assert [len(x) for x in docx._slices([whole])] == [16] * 6 + [4]
+
+
+def test_ideographs_need_no_python(spark, monkeypatch):
+    import re
+    import unicodedata
+
+    kept = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and re.search(X.STABLE, chr(c))]
+    assert len(kept) > 20_000 and unicodedata.normalize("NFKC", "".join(kept)) == "".join(kept)
+    fails = F.udf(lambda v: 1 / 0 if v is not None else None, "string")
+    monkeypatch.setattr(X, "_nfkc", fails)
+    assert _one(spark, X.comparable(F.col("a")), a="2 条立即处置、0条。") == "2条立即处置、0条。"
